@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, neardup, packing, secrets, shards
+from . import ann, decontam, html_extract, langid, neardup, packing, secrets, shards, tokencounts, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.Index(_table(spark, sf_dir, "embeddings"), k=20).search(F.col("vec_id") % 20 == 0)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts; sent again, the batch changes nothing."""
+    rollup = tokencounts.Rollup(spark)
+    delta = tokencounts.inserts(tokencounts.counted(_table(spark, sf_dir, "documents")))
+    rollup.commit("load", delta)
+    rollup.commit("load", delta)
+    return rollup.totals()
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), out="text")
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -40,6 +53,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -56,11 +73,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
+        "op3_token_counts": op3_token_counts,
         "op4_html_extraction": op4_html_extraction,
         "op5_language_id": op5_language_id,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_sharding": op8_sharding,
+        "op9_url_filters": op9_url_filters,
         "op10_secret_scans": op10_secret_scans,
     }
 
