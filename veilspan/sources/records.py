@@ -89,16 +89,16 @@ def registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 ITEMS_SQL = """items AS (
   SELECT user_id AS job_id, event_id AS item_id, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, event_type, value,
-    CASE event_type WHEN 'error' THEN 'UNABLE_TO_LOCK_ROW: record ' || CAST(event_id AS VARCHAR) WHEN 'signup' THEN 'invalid_grant: expired' ELSE 'Read timed out' END AS message
+    CASE event_type WHEN 'error' THEN 'Error code: 503 for ' || CAST(event_id AS VARCHAR) WHEN 'signup' THEN 'invalid_grant: server is busy' ELSE 'malformed id' END AS message
   FROM events)"""
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     message = (
-        F.when(kind == "error", F.concat(F.lit("UNABLE_TO_LOCK_ROW: record "), F.col("event_id").cast("string")))
-        .when(kind == "signup", "invalid_grant: expired")
-        .otherwise("Read timed out")
+        F.when(kind == "error", F.concat(F.lit("Error code: 503 for "), F.col("event_id").cast("string")))
+        .when(kind == "signup", "invalid_grant: server is busy")
+        .otherwise("malformed id")
     )
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("item_id"), "ts", F.when(kind == "error", "error").otherwise("ok").alias("status"),
