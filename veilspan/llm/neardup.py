@@ -5,10 +5,11 @@ the similarity limit shares no band with probability 5e-6. Candidates come from
 batch on signature bytes and dropped once the posterior probability that they reach the limit is below ``MISS``;
 the survivors are verified on the full sets.
 
-A bucket is never expanded into its pairs. Equal word sequences are one node. In each bucket every member meets one
-hub (chosen anew in each band), each node's most similar partner is verified first, and components of the verified
-links are contracted; only pairs of *different* components are looked at after that, until none is left. So every
-candidate pair is verified, or lies inside a component already, and large groups of copies cost a few links a member.
+A bucket is never expanded into its pairs. Equal word sequences are one node. In each bucket every member meets a hub
+(chosen anew in each band), each node's most similar partner is verified first, and the components of the verified links
+are contracted. Candidates that hang together but are still in different components are compared exactly, in blocks:
+those outside the largest component against all, and only links come out. So a candidate pair is verified, or lies
+inside a component already, and a large group of copies costs a few links a member.
 
 Defined cases: null or empty texts have no shingles and no links; a text of fewer than five words has its whole
 sequence as one shingle; rows that share a doc_id are one node; rows without a doc_id are never linked, have a null
@@ -35,6 +36,8 @@ PERMUTATIONS = BANDS * ROWS
 #: Probability of dropping, before the exact look, a pair that reaches the limit.
 MISS = 1e-6
 BATCH = 16
+#: Hubs that a bucket's members meet one after another, and the rows of a block where blocks are compared.
+HUBS, BLOCK = 2, 128
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _seeds = np.random.default_rng(20240229)
@@ -179,6 +182,93 @@ def verified(pairs: DataFrame, docs: DataFrame, limit: tuple[int, int] = LIMIT)
     return met.mapInPandas(check, "a long, b long")
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b, m): pairs of a bucket's hub and its members that the signatures don't rule out. Members that are unlike
+    their hub meet another one of their bucket; what is left after ``HUBS`` of them is compared in blocks."""
+    rows = nodes.select(F.explode("bands").alias("key"), "doc_id")
+    near = None
+    for turn in range(HUBS):
+        ordered = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("o"), F.col("doc_id"))
+        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(ordered).alias("hub")).filter("size > 1")
+        shared = rows.join(buckets.select("key", F.col("hub.doc_id").alias("hub")), "key").filter("doc_id <> hub")
+        shared = materialise(shared.select("key", "doc_id", F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")), "buckets")
+        found = materialise(survivors(shared.select("a", "b").distinct(), nodes), "near")
+        near = found if near is None else near.unionByName(found)
+        rows = materialise(shared.join(found, ["a", "b"], "left_anti").select("key", "doc_id").distinct(), "unlike")
+        if rows.isEmpty():
+            return near
+    left = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = rows.join(left.select("key"), "key", "left_semi").join(nodes.select("doc_id", "sketch"), "doc_id")
+    need = least_matches()[-1]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each left row's most similar right row, if the signatures don't rule it out."""
+        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        ids, other = x["doc_id"].to_numpy(), y["doc_id"].to_numpy()
+        p = np.frombuffer(b"".join(x["sketch"]), dtype=np.uint8).reshape(-1, PERMUTATIONS)
+        q = np.frombuffer(b"".join(y["sketch"]), dtype=np.uint8).reshape(-1, PERMUTATIONS)
+        out = []
+        for i in range(len(ids) if len(other) else 0):
+            m = np.where(other == ids[i], -1, (q == p[i]).sum(axis=1))
+            k = int(np.argmax(m))
+            if m[k] >= need:
+                out.append((min(ids[i], other[k]), max(ids[i], other[k]), int(m[k])))
+        return pd.DataFrame(out, columns=["a", "b", "m"]).astype({"a": "int64", "b": "int64", "m": "int32"})
+
+    blocks = _blocks(rows, rows, "key", ["doc_id", "sketch"])
+    return near.unionByName(blocks.groupBy("key", "lb", "rb").applyInPandas(compare, "a long, b long, m int").distinct())
+
+
+def _blocks(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of two sides that meet by a key, in pairs of blocks of about ``BLOCK`` rows a side: key, lb, rb, side
+    and the columns. A side's row stands once for each block of the other side."""
+    number = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = materialise(number(left, "ln").join(number(right, "rn"), key), "blocks")
+
+    def side(rows: DataFrame, own: str, other: str, mine: str, theirs: str, no: int) -> DataFrame:
+        rows = rows.join(sizes, key).withColumn(mine, F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int"))
+        rows = rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.select(key, "lb", "rb", F.lit(no).alias("side"), *columns)
+
+    return side(left, "ln", "rn", "lb", "rb", 0).unionByName(side(right, "rn", "ln", "rb", "lb", 1))
+
+
+def _across(clusters: DataFrame, labels: DataFrame, docs: DataFrame, limit: tuple[int, int] = LIMIT) -> DataFrame:
+    """Links between different components of one cluster of near candidates, exactly: the members outside a cluster's
+    largest component against all of its members, in blocks. A member's first link to each component is enough."""
+    members = _labelled(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), labels)
+    parts = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("size", "c")).alias("top")).filter("kinds > 1")
+    tagged = materialise(members.join(mixed.select("cluster", F.col("top.c").alias("top")), "cluster").select("cluster", "doc_id", "c", "top"), "mixed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text"))
+    whole = texts.join(checked_small(tagged), F.col("_id") == F.col("doc_id")).groupBy("cluster", "doc_id", "c", "top").agg(F.min("text").alias("text"))
+    whole = materialise(whole, "texts")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        sets = [shingles(words_of(t)) for t in y["text"]]
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        owners = np.repeat(np.arange(len(sets)), sizes)
+        every = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+        order = np.argsort(every, kind="stable")
+        every, owners = every[order], owners[order]
+        ids, comps = y["doc_id"].to_numpy(), y["c"].to_numpy()
+        out = []
+        for doc, comp, text in zip(x["doc_id"], x["c"], x["text"], strict=True):
+            s = shingles(words_of(text))
+            lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(s) else np.empty(0, dtype=np.int64)
+            common = np.bincount(owners[at], minlength=len(sets))
+            good = (common * limit[1] >= limit[0] * (len(s) + sizes - common)) & (comps != comp) & (common > 0)
+            _, first = np.unique(comps[good], return_index=True)
+            out += [(min(doc, o), max(doc, o)) for o in ids[good][first]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+
+    blocks = _blocks(whole.filter("c <> top"), whole, "cluster", ["doc_id", "c", "text"])
+    return blocks.groupBy("cluster", "lb", "rb").applyInPandas(link, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     feats = materialise(features(docs), "features")
@@ -186,33 +276,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     joined = named.join(first, "digest").filter("doc_id = rep").select("doc_id", "bands", "sketch")
     nodes = materialise(joined, "nodes")
-    rows = nodes.select(F.explode("bands").alias("key"), "doc_id")
-    ordered = F.struct(F.xxhash64("doc_id", "key").alias("o"), F.col("doc_id"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(ordered).alias("hub")).filter("size > 1")
-    shared = materialise(rows.join(buckets.select("key", F.col("hub.doc_id").alias("hub")), "key"), "buckets")
-    pairs = shared.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).filter("a <> b").distinct()
-    pairs = materialise(pairs, "pairs")
-    near = materialise(survivors(pairs, nodes), "near")
+    near = materialise(candidates(nodes), "near")
+    # each node's most similar partner first, then the hubs' other pairs where they still join two components
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o"), "m"), F.struct(F.col("b").alias("n"), F.col("a").alias("o"), "m"))).alias("e"))
     best = ends.groupBy("e.n").agg(F.max(F.struct("e.m", "e.o")).alias("best"))
     best = materialise(best.select(F.least("n", "best.o").alias("a"), F.greatest("n", "best.o").alias("b")).distinct(), "best")
     links = materialise(verified(best, docs), "links")
     labels = components(links)
-    # the hubs' other pairs, where they would still join two components
     rest = materialise(_apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), "rest")
     more = materialise(verified(rest, docs), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    # the members of a bucket that are still apart, two and two
-    tagged = _labelled(shared.select("key", "doc_id").distinct(), labels)
-    mixed = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    tagged = materialise(tagged.join(mixed, "key", "left_semi"), "mixed")
-    one, two = (tagged.select("key", F.col("doc_id").alias(d), F.col("c").alias(c)) for d, c in (("x", "cx"), ("y", "cy")))
-    cross = one.join(two, "key").filter("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = materialise(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
-    left = materialise(survivors(cross, nodes).select("a", "b"), "left")
-    more = materialise(verified(left, docs), "links")
+    more = materialise(_across(components(near), labels, docs), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     members = feats.select("doc_id", "n", "digest").join(first, "digest", "left")
