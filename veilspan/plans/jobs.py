@@ -85,7 +85,7 @@ def s19_watermark_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("name", "kind")
 
 
-@query("SELECT p_partkey, p_name AS word, CAST(p_size AS DOUBLE) AS x0, CAST(p_size + 5 AS DOUBLE) AS x1, 90.0 AS conf FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT p_partkey, p_name AS word, CAST(p_size AS DOUBLE) AS x0, CAST(p_size + 5 AS DOUBLE) AS x1, CAST(90 AS DOUBLE) AS conf FROM part WHERE p_partkey % 2 = 0")
 def s22_ocr_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines for each part: a word, and one below the least confidence."""
     from ..operators import layout
@@ -116,7 +116,7 @@ def f23_faded_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(F.hex(F.substring("rgba", 4, 1)) == "00").select("contact_id", "name")
 
 
-@query("SELECT s_suppkey, 1.5 * 1 + 1.5 * 2 AS waited FROM supplier WHERE s_suppkey < 5")
+@query("SELECT s_suppkey, CAST(1.5 * 1 + 1.5 * 2 AS DOUBLE) AS waited FROM supplier WHERE s_suppkey < 5")
 def q07_f16_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     waits = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda n: scalars.backoff_seconds(n).cast("double")), F.lit(0.0), lambda a, x: a + x)
     return table(spark, sf_dir, "supplier", "s_suppkey").filter("s_suppkey < 5").select("s_suppkey", waits.alias("waited"))

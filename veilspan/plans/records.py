@@ -199,7 +199,7 @@ def f14_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applicants(spark, sf_dir).select("applicant_id", scalars.deep_link(F.lit("example.com"), F.col("account_id").cast("string")).alias("link"))
 
 
-@query(f"WITH {ITEMS_SQL} SELECT item_id, event_type = 'error' AS transient, 1.5 * (item_id % 3 + 1) AS wait, substr(message, 1, 12) AS detail FROM items")
+@query(f"WITH {ITEMS_SQL} SELECT item_id, event_type = 'error' AS transient, CAST(1.5 * (item_id % 3 + 1) AS DOUBLE) AS wait, substr(message, 1, 12) AS detail FROM items")
 def f15_f16_f19_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("item_id", scalars.is_transient(F.col("message")).alias("transient"), scalars.backoff_seconds(F.col("item_id") % 3 + 1).cast("double").alias("wait"), scalars.truncated(F.col("message"), 12).alias("detail"))
 
@@ -342,7 +342,7 @@ def j15_accounts_of_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_distinct("account_id").alias("n_accounts"), F.when(F.count_distinct("account_id") == 1, F.min("account_id")).alias("primary_account"))
 
 
-@query("SELECT n_nationkey AS account, CASE WHEN s.n > 0 THEN 'account' ELSE 'global' END AS scope, coalesce(s.bytes, 0) AS bytes FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n, sum(strlen(s_name)) AS bytes FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
+@query("SELECT n_nationkey AS account, CASE WHEN s.n > 0 THEN 'account' ELSE 'global' END AS scope, CAST(coalesce(s.bytes, 0) AS BIGINT) AS bytes FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n, sum(strlen(s_name)) AS bytes FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
 def j17_watermark_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("account")).agg(F.sum(F.octet_length("s_name")).alias("own"))
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("account")).join(own, "account", "left")
@@ -420,7 +420,7 @@ def a09_kinds_of_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("field", classify(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_orderkey, avg(l_quantity) / 255 AS tone, max(l_extendedprice) / 60000 >= 0.3 AND count(*) < 3 AS needs_ocr, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS needed, sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END) AS done FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, avg(l_quantity) / 255 AS tone, max(l_extendedprice) / 60000 >= 0.3 AND count(*) < 3 AS needs_ocr, count(*) FILTER (WHERE l_returnflag = 'R') AS needed, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F') AS done FROM lineitem GROUP BY l_orderkey")
 def a11_a12_a13_page_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus").groupBy("l_orderkey")
     needed = F.col("l_returnflag") == "R"
