@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import layout
-from ..sources.records import WORDS_SQL, words
+from ..sources.records import WORDS_SQL, reading_order, words
 from .registry import Catalog, quoted
 
 CATALOG = Catalog()
@@ -45,9 +45,7 @@ def a04_bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORDS_SQL} SELECT conv_id, block, line_no, word_no, CAST(sum(length(word) + 1) OVER (PARTITION BY conv_id, block, line_no ORDER BY x0) - length(word) - 1 AS BIGINT) AS offset_chars FROM words")
 def w05_running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.records import LINE
-
-    upto = F.sum(F.length("word") + 1).over(LINE) - F.length("word") - 1
+    upto = F.sum(F.length("word") + 1).over(reading_order()) - F.length("word") - 1
     return words(spark, sf_dir).select("conv_id", "block", "line_no", "word_no", upto.cast("long").alias("offset_chars"))
 
 
@@ -61,9 +59,7 @@ def w06_gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORDS_SQL} SELECT conv_id, block, line_no, word_no, string_agg(word, ' ') OVER (PARTITION BY conv_id, block, line_no ORDER BY x0 ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM words")
 def w08_words_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.records import LINE
-
-    held = F.collect_list("word").over(LINE.rowsBetween(-3, -1))
+    held = F.collect_list("word").over(reading_order().rowsBetween(-3, -1))
     return words(spark, sf_dir).select("conv_id", "block", "line_no", "word_no", F.when(F.size(held) > 0, F.array_join(held, " ")).alias("before"))
 
 

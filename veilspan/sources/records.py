@@ -6,7 +6,7 @@ query has data at every scale. Each view has its SQL twin, which the oracles use
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .tables import table
@@ -139,4 +139,5 @@ def words_of_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-LINE = Window.partitionBy("conv_id", "block", "line_no").orderBy("x0")
+def reading_order() -> WindowSpec:
+    return Window.partitionBy("conv_id", "block", "line_no").orderBy("x0")

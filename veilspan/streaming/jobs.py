@@ -73,7 +73,8 @@ def progress(results_: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def live_progress(stream: DataFrame) -> DataFrame:
-    """Running counts by job over a stream of results (job_id, status), kept for seven days after a job's last row."""
+    """Running counts by job over a stream of results (job_id, status), kept for seven days after a job's last row. Its
+    time-outs need further batches, so a query over it runs until it is stopped (or once), never "available now"."""
 
     def update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
