@@ -85,5 +85,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All pairs that share a shingle, exactly; components by following links to smaller ids.
+OP7_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s FROM w),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE 100 * c >= 75 * (na + nb - c)),
+walk AS (SELECT doc_id, doc_id AS near FROM sets UNION SELECT w.doc_id, l.b FROM walk w JOIN links l ON l.a = w.near),
+least AS (SELECT doc_id, min(near) AS component_id FROM walk GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)"""
+
+
+def _op10_sql() -> str:
+    """Each rule's matches with their places: lengths of what lies between matches and of the matches, summed up."""
+    parts = []
+    for no, r in enumerate(secrets.RULES):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, {no} AS k, '{r.kind}' AS kind, {str(r.base).lower()} AS base, f[i] AS value, s[i] AS sized, {r.least} AS least,
+  CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS f, regexp_extract_all(text, {p}, {r.group}) AS s, string_split_regex(text, {p}) AS g FROM documents WHERE regexp_matches(text, {p})))""")
+    return f"""WITH found AS ({" UNION ALL ".join(parts)}), good AS (SELECT *, start + length(value) AS stop, kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(start + length(value) AS VARCHAR) AS name FROM found WHERE length(sized) >= least),
+each AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(name, ',' ORDER BY start, k, stop) FILTER (WHERE base) AS b, string_agg(name, ',' ORDER BY start, k, stop) AS spans FROM good GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  sha256(coalesce(text, '')) AS blob FROM documents d LEFT JOIN each e ON e.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_minhash_near_dedup": OP7_SQL, "op10_secret_scans": _op10_sql()}
