@@ -6,7 +6,7 @@ from veilspan.operators import known, layout, pixels, resolve
 from veilspan.sources import sinks, template
 from veilspan.sources.records import words_of_lines
 from veilspan.sources.registry import Registry
-from veilspan.streaming import jobs
+from veilspan.streaming import jobs, requests
 
 WORD = "conv_id long, block int, line_no int, word_no int, word string, x0 double, x1 double, y0 double, y1 double"
 RECT = "conv_id long, block int, rect int, line_no int, x0 double, y0 double, x1 double, y1 double"
@@ -180,3 +180,16 @@ def test_sinks_and_template(spark):
 def test_pixels():
     out = pixels.fade(np.array([[255, 255, 250], [100, 0, 200]], dtype=np.uint8), 0.5)
     assert out.tolist() == [[0, 0, 0, 0], [50, 0, 100, 128]]
+
+
+def test_requests_and_answers(spark):
+    item = '{"job_applicant_id":"a","mask_strings":["x"]}'
+    many = "[" + ",".join([item] * 501) + "]"
+    rows = [("1", f'{{"items":[{item},{{"job_applicant_id":"b","watermark_base64":"aGk="}}],"watermark_base64":"!!","watermark_text":"t"}}'), ("2", "no json"), ("3", '{"items":[]}'), ("4", f'{{"items":{many}}}')]
+    items, bad = requests.parse(spark.createDataFrame(rows, "job_id string, json string"))
+    out = [(r.idx, r.id, r.mask_strings, r.watermark, r.image) for r in items.orderBy("idx").collect()]
+    assert out == [(0, "a", ["x"], "!!", None), (1, "b", [], "aGk=", bytearray(b"hi"))]
+    assert {r.job_id: r.error for r in bad.collect()} == {"2": "not a batch request", "3": "no items", "4": "more than 500 items"}
+    done = spark.createDataFrame([("1", 1, "b", "error", None, "x" * 400), ("1", 0, "a", "ok", 2, None)], "job_id string, idx int, id string, status string, regions int, detail string")
+    row = requests.answer(done).first()
+    assert (row.succeeded, row.failed) == (1, 1) and row.json.index('"a"') < row.json.index('"b"') and "x" * 301 not in row.json

@@ -11,7 +11,7 @@ from ..functions import scalars
 from ..sources import sinks, template
 from ..sources.records import CONTACTS_SQL, ITEMS_SQL, contacts, items
 from ..sources.tables import table
-from ..streaming import jobs
+from ..streaming import jobs, requests
 from .registry import Catalog
 
 CATALOG = Catalog()
@@ -120,3 +120,14 @@ def f23_faded_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q07_f16_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     waits = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda n: scalars.backoff_seconds(n).cast("double")), F.lit(0.0), lambda a, x: a + x)
     return table(spark, sf_dir, "supplier", "s_suppkey").filter("s_suppkey < 5").select("s_suppkey", waits.alias("waited"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS idx, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'all' END AS watermark FROM events")
+def d13_batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One json request for each user, parsed back to its items."""
+    k = F.col("event_id")
+    item = F.struct(k.alias("n"), F.struct(k.cast("string").alias("job_applicant_id"), F.when(k % 2 == 0, "own").alias("watermark_base64")).alias("i"))
+    rows = table(spark, sf_dir, "events", "user_id", "event_id").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    body = F.to_json(F.struct(F.col("all.i").alias("items"), F.lit("all").alias("watermark_base64")))
+    items_, _ = requests.parse(rows.select(F.col("user_id").cast("string").alias("job_id"), body.alias("json")))
+    return items_.select("job_id", "idx", "id", "watermark")
