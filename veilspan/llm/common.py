@@ -11,9 +11,36 @@ from pyspark.sql import functions as F
 #: Rows of (long) keys that may be broadcast: about 16 MB as a hashed relation. Beyond it the same join shuffles.
 BROADCAST_KEYS = 500_000
 #: Rows in one Arrow batch of texts; keeps a batch of long documents within a Python worker's memory.
-ARROW_ROWS = 1_000
+ARROW_ROWS = 250
 
 _scratch: dict[str, str] = {}
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str, make=dict) -> dict:
+    """A Python worker's look-up table for one operator. Workers live on from operator to operator, so the tables of
+    all others are emptied: a worker never holds more than one."""
+    others = [t for name, t in _caches.items() if name != owner and t]
+    for table in others:
+        table.clear()
+    if others:
+        hand_back()
+    return _caches.setdefault(owner, make())
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system: allocators keep it otherwise, in every idle worker."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def _remove(spark: SparkSession, path: str) -> None:

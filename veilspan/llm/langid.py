@@ -1,8 +1,8 @@
 """Language ID by nearest centroid: normalised TF-IDF vectors of hashed character trigrams, several clustered
 centroids for each language, cosine, and rejection by distance.
 
-A text's trigrams are those of its lower-cased letters with every run of other characters as one blank. The
-model is fitted on a bounded sample of labelled rows (``SAMPLE`` texts, dealt evenly over the languages and chosen
+A text's trigrams are those of its lower-cased letters with every run of other characters as one blank, without
+tokens that hold a digit or an @. The model is fitted on a bounded sample of labelled rows (``SAMPLE`` texts, dealt evenly over the languages and chosen
 by a hash of doc_id); prediction reads every whole text in blocks of ``BLOCK`` characters.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; ties go to the language
@@ -12,6 +12,8 @@ columns pass through untouched.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import hand_back, text_batches
 
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
@@ -30,6 +32,8 @@ BLOCK = 1 << 20
 REJECT_SHARE = 0.5
 UND = "und"
 
+_CODES = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+
 _letters: np.ndarray | None = None
 
 
@@ -44,7 +48,13 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Bins that occur, ascending, and how often. Empty if there is no letter."""
+    """Bins that occur, ascending, and how often. Empty if there is no letter. Tokens with a digit or an @ in them (keys,
+    addresses, numbers) are no language and left out, unless nothing else is there."""
+    bins, counts = _trigrams(_CODES.sub(" ", text)) if text else _trigrams(text)
+    return (bins, counts) if len(bins) or not text else _trigrams(text)
+
+
+def _trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(DIMENSIONS, dtype=np.int64)
     carry = np.array([32], dtype=np.uint32)
     seen = False
@@ -146,20 +156,25 @@ def fit(labelled: DataFrame, lang: Column, text: Column, key: Column, sample: in
 
     def vectors(batches):
         for b in batches:
-            out = [(name, *(x.tolist() for x in trigrams(t))) for name, t in zip(b["lang"], b["text"], strict=True)]
+            out = [(name, *(x.astype("<i4").tobytes() for x in trigrams(t))) for name, t in zip(b["lang"], b["text"], strict=True)]
             yield pd.DataFrame([x for x in out if x[1]], columns=["lang", "bins", "counts"])
 
-    got = chosen.mapInPandas(vectors, "lang string, bins array<int>, counts array<int>").collect()
-    got.sort(key=lambda r: (r["lang"], r["bins"], r["counts"]))
-    return fit_vectors([(r["lang"], np.array(r["bins"]), np.array(r["counts"])) for r in got], centroids)
+    got = chosen.mapInPandas(vectors, "lang string, bins binary, counts binary").collect()
+    got.sort(key=lambda r: (r["lang"], bytes(r["bins"]), bytes(r["counts"])))
+    model = fit_vectors([(r["lang"], np.frombuffer(r["bins"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i4")) for r in got], centroids)
+    del got
+    hand_back()
+    return model
 
 
 def predictor(model: Model):
     """A column function: text to struct(lang_pred, score, rejected)."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score", "rejected"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([model.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score", "rejected"])
+        hand_back()
 
     return predict
 

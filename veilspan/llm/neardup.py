@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_small, materialise, text_batches, words_of
+from .common import checked_small, hand_back, materialise, text_batches, worker_cache, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -51,15 +51,12 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-_known = _Words()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _M1
     h = (h ^ (h >> np.uint64(33))) * _M2
@@ -70,7 +67,8 @@ def shingles(words: list[bytes]) -> np.ndarray:
     """The set as ascending 64-bit hashes."""
     if not words:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = worker_cache("shingles", _Words)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = len(h)
     if n < SHINGLE:
         return _mix(np.array([np.sum(h * _POWERS[:n], dtype=np.uint64) + np.uint64(n)], dtype=np.uint64))
@@ -111,6 +109,7 @@ def features(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n", "digest", "bands", "sketch"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        hand_back()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return slim.mapInPandas(of, "doc_id long, n long, digest binary, bands array<long>, sketch binary")
@@ -138,18 +137,20 @@ def bayes():
     least = least_matches()
 
     @F.pandas_udf("int")
-    def matches(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, PERMUTATIONS)
-        y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, PERMUTATIONS)
-        out = np.full(len(x), -1, dtype=np.int32)
-        alive, total = np.arange(len(x)), np.zeros(len(x), dtype=np.int32)
-        for k, need in enumerate(least):
-            cut = slice(k * BATCH, (k + 1) * BATCH)
-            total = total + (x[alive, cut] == y[alive, cut]).sum(axis=1, dtype=np.int32)
-            still = total >= need
-            alive, total = alive[still], total[still]
-        out[alive] = total
-        return pd.Series(out)
+    def matches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, PERMUTATIONS)
+            y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, PERMUTATIONS)
+            out = np.full(len(x), -1, dtype=np.int32)
+            alive, total = np.arange(len(x)), np.zeros(len(x), dtype=np.int32)
+            for k, need in enumerate(least):
+                cut = slice(k * BATCH, (k + 1) * BATCH)
+                total = total + (x[alive, cut] == y[alive, cut]).sum(axis=1, dtype=np.int32)
+                still = total >= need
+                alive, total = alive[still], total[still]
+            out[alive] = total
+            yield pd.Series(out)
+        hand_back()
 
     return matches
 
@@ -178,6 +179,7 @@ def verified(pairs: DataFrame, docs: DataFrame, limit: tuple[int, int] = LIMIT)
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(common * limit[1] >= limit[0] * (len(s) + len(t) - common) and common > 0)
             yield batch.loc[keep, ["a", "b"]]
+        hand_back()
 
     return met.mapInPandas(check, "a long, b long")
 
@@ -190,7 +192,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     for turn in range(HUBS):
         ordered = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("o"), F.col("doc_id"))
         buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(ordered).alias("hub")).filter("size > 1")
-        shared = rows.join(buckets.select("key", F.col("hub.doc_id").alias("hub")), "key").filter("doc_id <> hub")
+        # written first: the join then has shuffles of its own, which Spark can split at a hot key, or none
+        buckets = materialise(buckets.select("key", F.col("hub.doc_id").alias("hub")), "hubs")
+        shared = rows.join(checked_small(buckets), "key").filter("doc_id <> hub")
         shared = materialise(shared.select("key", "doc_id", F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")), "buckets")
         found = materialise(survivors(shared.select("a", "b").distinct(), nodes), "near")
         near = found if near is None else near.unionByName(found)
@@ -273,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     feats = materialise(features(docs), "features")
     named = feats.filter("doc_id is not null and n > 0")
-    first = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    first = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
     joined = named.join(first, "digest").filter("doc_id = rep").select("doc_id", "bands", "sketch")
     nodes = materialise(joined, "nodes")
     near = materialise(candidates(nodes), "near")

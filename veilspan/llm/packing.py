@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialise, text_batches
+from .common import hand_back, materialise, text_batches
 
 CAPACITY = 4096
 #: Branch-and-bound nodes after the first dive; a fixed number, so that a packing never depends on the machine.
@@ -253,6 +253,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        hand_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)

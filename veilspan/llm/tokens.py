@@ -13,11 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import worker_cache
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
 _PLAIN = re.compile("[^\t\n\v\f\r -~¡-ɏ]")
-_CACHE_WORDS = 800_000
+_CACHE_WORDS = 600_000
 
 
 class WordEncoder:
@@ -30,7 +32,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = worker_cache(f"tokens {path}")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -61,14 +63,20 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder in each Python worker."""
+def _encoder(path: str) -> WordEncoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEncoder(path)
 
 
+def encoder(path: str) -> WordEncoder:
+    """One encoder in each Python worker."""
+    enc = _encoder(path)
+    worker_cache(f"tokens {path}")
+    return enc
+
+
 def default_path() -> str:
     import public_tokenizers
 
