@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hand_back, text_batches
+from .common import hand_back, text_batches, worker_cache
 
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
@@ -172,6 +172,7 @@ def predictor(model: Model):
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_cache("languages")  # none of its own: the others' go
         for texts in batches:
             yield pd.DataFrame([model.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score", "rejected"])
         hand_back()

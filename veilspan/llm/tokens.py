@@ -19,7 +19,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
 _PLAIN = re.compile("[^\t\n\v\f\r -~¡-ɏ]")
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 400_000
 
 
 class WordEncoder:
