@@ -56,10 +56,12 @@ def mask(docs: DataFrame, known: str | None = None, mark: str = "") -> DataFrame
     turns away go through unchanged, unread by the costly patterns."""
     text = F.col("text")
     values = phones.expand(F.col(known)) if known else phones.expand(detected(text))
-    either = F.concat(_located(text, values), F.transform(emails.scan_residual(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    look = text.rlike(GATE)
-    found = F.when(look, emails.disjoint(merged(either))).otherwise(F.array().cast(emails.SPANS))
-    rows = docs.withColumn("_spans", found)
+    look, none = text.rlike(GATE), F.array().cast(emails.SPANS)
+    # columns of their own, because both are read more than once
+    rows = docs.withColumn("_values", F.when(look, values)).withColumn("_residual", F.when(look, emails.scan_residual(text)))
+    swept = F.transform("_residual", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = emails.disjoint(merged(F.concat(_located(text, F.col("_values")), swept)))
+    rows = rows.withColumn("_spans", F.when(look, found).otherwise(none))
     return rows.select("doc_id", F.when(F.size("_spans") > 0, blank_out(text, F.col("_spans"), mark)).otherwise(text).alias("masked"), F.size("_spans").alias("regions"))
 
 
