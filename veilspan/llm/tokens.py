@@ -1,7 +1,7 @@
-"""Token ids of the public word-level BPE, fast: words are encoded once and looked up afterwards.
+"""Token ids of the public word-level BPE, fast: what stands between white space is encoded once and looked up afterwards.
 
-The tokenizer splits a lower-cased text into words before its merges, so a text's ids are its words' ids in a
-row. Texts with anything unusual (special-token strings, characters outside Latin and general punctuation) take
+The tokenizer splits a lower-cased text into words before its merges, never across white space, so a text's ids are
+those of its pieces between white space in a row. Texts with anything unusual (special-token strings, characters outside Latin and general punctuation) take
 the tokenizer's own path; the tests hold both against each other.
 """
 
@@ -19,7 +19,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
 _PLAIN = re.compile("[^\t\n\v\f\r -~¡-ɏ]")
-_CACHE_WORDS = 400_000
+_CACHE_TOKENS = 400_000
+#: Marks of tokens seen once. Most tokens of a corpus occur once; only what comes again is kept in the table.
+_MARKS = 1 << 22
 
 
 class WordEncoder:
@@ -33,6 +35,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.known: dict[str, bytes] = worker_cache(f"tokens {path}")
+        self.seen = bytearray(_MARKS)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -46,20 +49,28 @@ class WordEncoder:
             return b""
         if "<|" in text or _PLAIN.search(text):
             return self._whole(text)
-        words, known = self.split(text.lower()), self.known
+        given, known = text.lower().split(), self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(known.__getitem__, given))
         except KeyError:
             pass
-        if len(known) > _CACHE_WORDS:
+        if len(known) > _CACHE_TOKENS:
             known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
+            self.seen = bytearray(_MARKS)
+        new = [w for w in dict.fromkeys(given) if w not in known]
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends, packed, start = np.flatnonzero(self.ends[ids]) + 1, ids.tobytes(), 0
+        words = np.cumsum([len(self.split(w)) for w in new])  # up to and with each token
+        ends, packed, start = np.flatnonzero(self.ends[ids])[words - 1] + 1, ids.tobytes(), 0
         for w, end in zip(new, (4 * ends).tolist(), strict=True):
             known[w] = packed[start:end]
             start = end
-        return b"".join(map(known.__getitem__, words))
+        out, seen = b"".join(map(known.__getitem__, given)), self.seen
+        for w in new:
+            mark = hash(w) % _MARKS
+            if not seen[mark]:
+                seen[mark] = 1
+                del known[w]
+        return out
 
 
 @lru_cache(maxsize=2)
