@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -58,14 +59,19 @@ class WordEncoder:
             known.clear()
             self.seen = bytearray(_MARKS)
         new = [w for w in dict.fromkeys(given) if w not in known]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-        words = np.cumsum([len(self.split(w)) for w in new])  # up to and with each token
-        ends, packed, start = np.flatnonzero(self.ends[ids])[words - 1] + 1, ids.tobytes(), 0
-        for w, end in zip(new, (4 * ends).tolist(), strict=True):
-            known[w] = packed[start:end]
-            start = end
+        parts = [self.split(w) for w in new]
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in known]
+        if fresh:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype="<u4")
+            packed, start = ids.tobytes(), 0
+            for w, end in zip(fresh, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                known[w] = packed[start:end]
+                start = end
+        for w, words in zip(new, parts, strict=True):
+            if len(words) > 1:
+                known[w] = b"".join(map(known.__getitem__, words))
         out, seen = b"".join(map(known.__getitem__, given)), self.seen
-        for w in new:
+        for w in dict.fromkeys(chain(new, fresh)):
             mark = hash(w) % _MARKS
             if not seen[mark]:
                 seen[mark] = 1
