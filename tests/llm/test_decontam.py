@@ -76,3 +76,47 @@ def test_substitutions(spark):
             docs.append((20 * i + j, " ".join(w)))
     found = leaks(spark, docs, [(1, " ".join(item))])
     assert len(found) >= 0.95 * len(docs)
+
+
+def missed(masks, most=400):
+    """A pattern (1: equal) that meets the rule and holds none of the masks; None if there is no such pattern of any
+    length. The best score (1 for an equal word, -3 for another; the rule is: not negative) of each state, a state being
+    the last words and the equal words up to the least; a stretch whose beginning scores under -40 may as well begin later."""
+    span, masks = max(map(len, masks)), [(len(m), int(m, 2)) for m in masks]
+    now, seen = {(0, 0, 0): (0, "")}, {}
+    for _ in range(most):
+        after = {}
+        for (bits, n, equal), (score, way) in now.items():
+            for x in (0, 1):
+                b, k, e, s = (bits << 1 | x) & ((1 << span) - 1), min(span, n + 1), min(decontam.LEAST_WORDS, equal + x), score + (1 if x else -3)
+                if s < -40 or any(k >= size and b & m == m for size, m in masks):
+                    continue
+                if e >= decontam.LEAST_WORDS and s >= 0:
+                    return way + str(x)
+                if after.get((b, k, e), (-99,))[0] < s:
+                    after[b, k, e] = (s, way + str(x))
+        now = {k: v for k, v in after.items() if seen.get(k, -99) < v[0]}
+        seen |= {k: v[0] for k, v in now.items()}
+        if not now:
+            return None
+    raise AssertionError("not decided")
+
+
+def test_masks_hit_every_stretch_that_meets_the_rule():
+    assert (decontam.LEAST_WORDS, decontam.LEAST_SHARE) == (10, 0.75)
+    assert missed(["110110110101", "101011011011"]) is not None
+    assert missed(decontam.MASKS) is None
+
+
+def test_recall_is_whole_at_any_rate_of_substitutions(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice(WORDS) for _ in range(n))) for i, n in enumerate([10, 11, 12, 16, 20, 30, 60] * 3)]
+    docs = []
+    for rate in (0.1, 0.15, 0.2, 0.25):
+        for _, item in items:
+            docs.append((len(docs), "before it " + " ".join("other" if r.random() < rate else w for w in item.split()) + " and after"))
+    for every in (4, 5):
+        docs.append((len(docs), " ".join("other" if k % every == 0 else w for k, w in enumerate(items[6][1].split()))))
+    found, want = set(leaks(spark, docs, items)), brute(docs, items)
+    assert len(want) > 50 and {(len(docs) - 2, 6), (len(docs) - 1, 6)} <= want
+    assert want <= found

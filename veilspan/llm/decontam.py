@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced seeds. DataFrame functions only.
 
-Words are the lower-cased runs of letters and digits. A seed is a fixed mask over ``SPAN`` words in a row; the words
-at its set positions are hashed, so that substitutions at the others do not matter. Test and training hashes are
-joined; around each hit the document is laid beside the benchmark item, and the best-scoring stretch (a match
+Words are the lower-cased runs of letters and digits. A seed is a fixed mask over some words in a row; the words at its
+set positions are hashed, so that substitutions at the others do not matter. The masks are complete: every stretch with
+``LEAST_WORDS`` equal words and ``LEAST_SHARE`` of its words equal holds one of them with equal words at all its set
+positions, however long it is (tests/llm/test_decontam.py proves it). Test and training hashes are joined; around each hit the document is laid beside the benchmark item, and the best-scoring stretch (a match
 counts 1, a substitution -1) decides: a leak has ``LEAST_WORDS`` equal words in it and ``LEAST_SHARE`` of its words equal.
 
-Items with fewer words than a seed spans, but ``SHORTEST`` or more, are sought as a whole, word for word; items
+Items with fewer than ``LEAST_WORDS`` words, but ``SHORTEST`` or more, are sought as a whole, word for word; items
 shorter than that are everyday phrases and are not sought.
 
 Defined cases: null or empty texts and items leak nothing; items with equal words each count; repeated rows of a
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Fixed masks: 8 of 12 words each.
-MASKS = ("110110110101", "101011011011")
-SPAN = 12
+#: Fixed masks of 5 words each; together they hit every stretch that meets the rule below.
+MASKS = ("111011", "1100001011", "1000001000111")
 LEAST_WORDS, LEAST_SHARE = 10, 0.75
 SHORTEST = 5
 #: Seed hashes of the benchmark that may be broadcast (about 40 bytes each); beyond it the join shuffles.
@@ -41,8 +41,10 @@ def _seed(w: Column, at: Column, mask: str, no: int) -> Column:
 def benchmark_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
     """(seed, item_id, at) of each item and mask; for short items the whole."""
     n = F.size("words")
-    long = items.filter(n >= SPAN).select("item_id", "words", F.explode(F.sequence(F.lit(0), n - SPAN)).alias("at"))
-    out = [long.select(_seed(F.col("words"), F.col("at"), m, k).alias("seed"), "item_id", "at") for k, m in enumerate(MASKS)]
+    out = []
+    for k, m in enumerate(MASKS):
+        long = items.filter((n >= LEAST_WORDS) & (n >= len(m))).select("item_id", "words", F.explode(F.sequence(F.lit(0), n - len(m))).alias("at"))
+        out.append(long.select(_seed(F.col("words"), F.col("at"), m, k).alias("seed"), "item_id", "at"))
     for size in lengths:
         short = items.filter(n == size).withColumn("at", F.lit(0))
         out.append(short.select(_seed(F.col("words"), F.col("at"), "1" * size, 100 + size).alias("seed"), "item_id", "at"))
@@ -57,13 +59,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item found in it: doc_id, item_id, start (word of the document where the
     best stretch begins), matched and length (words of that stretch)."""
     items = materialise(benchmark.select(F.col("item_id").alias("item_id"), _clean_words(F.col("text")).alias("words")).filter(F.size("words") >= SHORTEST), "items")
-    lengths = sorted(r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect())  # 5 to 11
+    lengths = sorted(r[0] for r in items.filter(F.size("words") < LEAST_WORDS).select(F.size("words")).distinct().collect())  # 5 to 9
     seeds = materialise(benchmark_seeds(items, lengths), "seeds")
     small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     hint = F.broadcast if small else (lambda t: t)
     text = docs.select(F.col("doc_id").alias("doc_id"), words(F.col("text")).alias("w")).filter(F.size("w") >= SHORTEST)
     shapes = [(m, k) for k, m in enumerate(MASKS)] + [("1" * s, 100 + s) for s in lengths]
-    first = min([SPAN, *lengths])
+    first = min(len(m) for m, _ in shapes)
     spots = text.filter(F.size("w") >= first).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - first)).alias("i"))
     hashes = [F.when(F.col("i") + len(m) <= F.size("w"), _seed(F.col("w"), F.col("i"), m, k)) for m, k in shapes]
     spots = spots.select("doc_id", "w", "i", F.explode(F.array(*hashes)).alias("seed"))
