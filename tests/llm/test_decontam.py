@@ -120,3 +120,34 @@ def test_recall_is_whole_at_any_rate_of_substitutions(spark):
     found, want = set(leaks(spark, docs, items)), brute(docs, items)
     assert len(want) > 50 and {(len(docs) - 2, 6), (len(docs) - 1, 6)} <= want
     assert want <= found
+
+
+def every_stretch(docs, items):
+    """All stretches of every diagonal of every pair, by prefix sums."""
+    out = set()
+    for d, text in docs:
+        a = text.split()
+        for k, item in items:
+            b = item.split()
+            for shift in range(-len(b) + 1, len(a)):
+                sums = [0]
+                for p in range(len(b)):
+                    if 0 <= shift + p < len(a):
+                        sums.append(sums[-1] + (a[shift + p] == b[p]))
+                ends = [(i, j) for i in range(len(sums)) for j in range(i + decontam.LEAST_WORDS, len(sums))]
+                if any(sums[j] - sums[i] >= max(decontam.LEAST_WORDS, decontam.LEAST_SHARE * (j - i)) for i, j in ends):
+                    out.add((d, k))
+    return out
+
+
+def test_any_stretch_that_meets_the_rule(spark):
+    r = random.Random(5)
+    item = [f"k{i}" for i in range(71)]
+    docs = [(0, " ".join(item[:24] + ["other"] * 23 + item[47:])), (1, " ".join(item[:12] + ["other"] * 11 + item[23:35])), (2, " ".join(item[:9] + ["other"] * 11 + item[20:29]))]
+    for rate in (0.2, 0.25, 0.3, 0.4):
+        docs += [(len(docs) + i, " ".join("other" if r.random() < rate else w for w in item[: r.choice([20, 40, 71])])) for i in range(12)]
+    found, want = leaks(spark, docs, [(1, " ".join(item))]), every_stretch(docs, [(1, " ".join(item))])
+    assert {(0, 1), (1, 1)} <= want and (2, 1) not in want and 20 < len(want) < len(docs)
+    assert set(found) == want
+    assert (found[0, 1].start, found[0, 1].matched, found[0, 1].length) == (0, 24, 24)
+    assert all(x.matched >= 10 and x.matched >= 0.75 * x.length for x in found.values())

@@ -3,8 +3,9 @@
 Words are the lower-cased runs of letters and digits. A seed is a fixed mask over some words in a row; the words at its
 set positions are hashed, so that substitutions at the others do not matter. The masks are complete: every stretch with
 ``LEAST_WORDS`` equal words and ``LEAST_SHARE`` of its words equal holds one of them with equal words at all its set
-positions, however long it is (tests/llm/test_decontam.py proves it). Test and training hashes are joined; around each hit the document is laid beside the benchmark item, and the best-scoring stretch (a match
-counts 1, a substitution -1) decides: a leak has ``LEAST_WORDS`` equal words in it and ``LEAST_SHARE`` of its words equal.
+positions, however long it is (tests/llm/test_decontam.py proves it). Test and training hashes are joined; around each hit the document is laid beside the benchmark item, and any stretch of the two with ``LEAST_WORDS``
+equal words and ``LEAST_SHARE`` of its words equal is a leak. Reported is the one with the most equal words, of these
+the shortest, of these the first.
 
 Items with fewer than ``LEAST_WORDS`` words, but ``SHORTEST`` or more, are sought as a whole, word for word; items
 shorter than that are everyday phrases and are not sought.
@@ -76,29 +77,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     beside = F.slice("words", F.col("at") - back + 1, F.size("words"))
     hits = hits.select("doc_id", "item_id", (F.col("i") - back).alias("from"), part.alias("part"), beside.alias("beside"))
     hits = hits.withColumn("best", _stretch(F.arrays_zip(F.col("part").alias("a"), F.slice("beside", F.lit(1), F.size("part")).alias("b"))))
-    whole = F.col("best.m") == F.size("beside")  # a short item as a whole
-    good = ((F.col("best.m") >= LEAST_WORDS) & (F.col("best.m") >= LEAST_SHARE * F.col("best.n"))) | whole
-    found = hits.filter(good).select("doc_id", "item_id", F.struct(F.col("best.m").alias("matched"), (-F.col("best.n")).alias("n"), (F.col("from") + F.col("best.at")).alias("start")).alias("b"))
+    whole = F.col("best.all") == F.size("beside")  # word for word, so a short item too
+    size = F.size("beside")
+    best = F.when(whole, F.struct(size.alias("m"), size.alias("n"), F.lit(0).alias("at"))).otherwise(F.col("best.s"))
+    found = hits.withColumn("best", best).filter("best is not null").select("doc_id", "item_id", F.struct(F.col("best.m").alias("matched"), (-F.col("best.n")).alias("n"), (-(F.col("from") + F.col("best.at"))).alias("start")).alias("b"))
     found = found.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
-    return found.select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.matched").alias("matched"), (-F.col("b.n")).alias("length"))
+    return found.select("doc_id", "item_id", (-F.col("b.start")).alias("start"), F.col("b.matched").alias("matched"), (-F.col("b.n")).alias("length"))
 
 
 def _stretch(pairs: Column) -> Column:
-    """Best-scoring stretch of word pairs: m equal words of n, from word ``at``."""
-    z = F.lit(0)
-    zero = F.struct(z.alias("i"), z.alias("s"), z.alias("m"), z.alias("at0"), z.alias("bs"), z.alias("bm"), z.alias("bn"), z.alias("bat"))
-
-    def step(c, p):
-        same = p["a"] == p["b"]
-        alive = c["s"] > 0
-        s = F.when(alive, c["s"]).otherwise(z) + F.when(same, 1).otherwise(-1)
-        m = F.when(alive, c["m"]).otherwise(z) + F.when(same, 1).otherwise(0)
-        at0 = F.when(alive, c["at0"]).otherwise(c["i"])
-        better = s > c["bs"]
-        return F.struct(
-            (c["i"] + 1).alias("i"), s.alias("s"), m.alias("m"), at0.alias("at0"),
-            F.when(better, s).otherwise(c["bs"]).alias("bs"), F.when(better, m).otherwise(c["bm"]).alias("bm"),
-            F.when(better, c["i"] - at0 + 1).otherwise(c["bn"]).alias("bn"), F.when(better, at0).otherwise(c["bat"]).alias("bat"),
-        )
-
-    return F.aggregate(pairs, zero, step, lambda c: F.struct(c["bm"].alias("m"), c["bn"].alias("n"), c["bat"].alias("at")))
+    """Of the stretches of word pairs that meet the rule, the one with the most equal words: m equal words of n, from word
+    ``at``; null if there is none. ``all`` are the equal words of all pairs."""
+    spots = F.filter(F.transform(pairs, lambda p, i: F.when(p["a"] == p["b"], i)), lambda i: i.isNotNull())
+    nothing = F.lit(None).cast("struct<m:int,n:int,at:int>")
+
+    def shortest(e: Column, c: Column) -> Column:
+        """The shortest stretch with c equal words, if its share is enough."""
+        ends = F.zip_with(F.slice(e, F.lit(1), F.size(e) - c + 1), F.slice(e, c, F.size(e) - c + 1), lambda x, y: F.struct((y - x + 1).alias("n"), x.alias("at")))
+        best = F.array_min(ends)
+        return F.when(c >= LEAST_SHARE * best["n"], F.struct(c.alias("m"), best["n"].alias("n"), best["at"].alias("at")))
+
+    def longest(e: Column) -> Column:
+        # a stretch with twice the least equal words can be cut in two of which one meets the rule, so these counts decide
+        some = F.exists(F.sequence(F.lit(LEAST_WORDS), F.least(F.size(e), F.lit(2 * LEAST_WORDS - 1))), lambda c: shortest(e, c).isNotNull())
+        best = F.aggregate(F.sequence(F.size(e), F.lit(LEAST_WORDS), F.lit(-1)), nothing, lambda acc, c: F.when(acc.isNotNull(), acc).otherwise(shortest(e, c)))
+        return F.when((F.size(e) >= LEAST_WORDS) & some, best)
+
+    def of(e: Column) -> Column:
+        return F.struct(F.size(e).alias("all"), F.when(F.size(e) >= LEAST_WORDS, longest(e)).otherwise(nothing).alias("s"))
+
+    # bound once: the equal words are the only element of an array
+    return F.element_at(F.transform(F.array(spots), of), 1)
