@@ -1,8 +1,8 @@
 """A training corpus from raw documents: language ID, near-duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it kept with the columns it was given; the last
-returns the packed pieces. A stage joins its operator's decisions back by doc_id, with the smaller side broadcast
-only if its counted rows are few.
+returns the packed pieces. A stage joins its operator's decisions back by doc_id, or by the text's digest where
+rows without a doc_id count, with the smaller side broadcast only if its counted rows are few.
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ def _one_each(docs: DataFrame) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    drop = materialise(found.select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(checked_small(drop), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Documents that hold a benchmark passage go. A row's key is its text's digest, because many rows may have no doc_id."""
+    keyed = docs.select(secrets.blob_of(F.col("text")).alias("doc_id"), "text")
+    found = decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    drop = materialise(found.select(F.col("doc_id").alias("__of")).distinct(), "leaks")
+    return docs.join(checked_small(drop, 100_000), secrets.blob_of(F.col("text")) == F.col("__of"), "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,14 @@ def test_empty_documents(spark, tmp_path):
 def test_five_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scans", "packing"]
     assert langid.UND == "und" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_a_leak_without_doc_id_takes_no_other_document(spark, tmp_path):
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(n))
+    item = text(30)
+    rows = [(None, text(40)), (None, f"{text(9)} {item}"), (None, text(40)), (None, None), (None, ""), (7, item), (7, text(40)), (8, text(40))]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [x for x in rows if item not in (x[1] or "")]))
