@@ -193,3 +193,17 @@ def test_requests_and_answers(spark):
     done = spark.createDataFrame([("1", 1, "b", "error", None, "x" * 400), ("1", 0, "a", "ok", 2, None)], "job_id string, idx int, id string, status string, regions int, detail string")
     row = requests.answer(done).first()
     assert (row.succeeded, row.failed) == (1, 1) and row.json.index('"a"') < row.json.index('"b"') and "x" * 301 not in row.json
+
+
+def test_every_place_of_a_value(spark):
+    rows = [("a@b.co, x a@b.co\n(a@b.co)", "a@b.co"), ("a+b@c.io a.b@c.io", "a.b@c.io"), ("none", "a@b.co"), (None, "a@b.co")]
+    got = spark.createDataFrame(rows, "t string, v string").select(known.literal_places(F.col("t"), F.col("v"))).collect()
+    assert [r[0] for r in got] == [[0, 10, 18], [9], [], []]
+
+
+def test_emails_are_placed_wherever_they_stand(spark, tmp_path):
+    from veilspan.plans.known import k08_place_emails
+
+    spark.createDataFrame([(1, "Ann@b.com and ann@b.com")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = k08_place_emails(spark, str(tmp_path)).collect()
+    assert sorted((r.email, r.start, r.end) for r in found) == [("Ann@b.com", 0, 9), ("Ann@b.com", 14, 23), ("ann@b.com", 0, 9), ("ann@b.com", 14, 23)]

@@ -34,6 +34,18 @@ def place_phones(words: DataFrame, targets: DataFrame, keys: list[str], page: li
     return met.groupBy(*keys, "target", "i").agg(first).select(*keys, "target", "i", "b.j", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
+def literal_places(text, value):
+    """Where a value stands in a text, every time it does, from left to right without overlaps: array of starts."""
+    gaps = F.transform(F.split(text, F.concat(F.lit(r"\Q"), value, F.lit(r"\E")), -1), lambda g: F.length(g))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    places = F.aggregate(
+        F.slice(gaps, F.lit(1), F.size(gaps) - 1), zero,
+        lambda acc, g: F.struct((acc["at"] + g + F.length(value)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + g)).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return F.when(F.contains(text, value), places).otherwise(F.array().cast("array<int>"))
+
+
 def known_emails_and_phones(values):
     """struct(emails, phones): addresses in lower case, and the last ten digits of every part with ten or more."""
     mails = F.transform(F.filter(values, lambda v: v.contains("@")), lambda v: F.lower(F.trim(v)))

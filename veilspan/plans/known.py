@@ -96,8 +96,7 @@ SELECT doc_id, email, CAST(strpos(lower(text), lower(email)) - 1 AS INTEGER) AS
 def k08_place_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").filter(F.col("text").contains("@"))
     rows = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(fixed.EMAIL), F.lit(0)))).alias("email"))
-    at = F.expr("instr(lower(text), lower(email))") - 1
-    return rows.select("doc_id", "email", at.alias("start"), (at + F.length("email")).alias("end"))
+    return rows.select("doc_id", "email", F.explode(known.literal_places(F.lower("text"), F.lower("email"))).alias("start")).withColumn("end", F.col("start") + F.length("email"))
 
 
 @query(f"WITH {VALUES_SQL}, {SPLIT_SQL} SELECT CASE WHEN regexp_matches(value, {_PH}) THEN 'digits' WHEN contains(value, '@') THEN 'literal' ELSE 'none' END AS strategy, count(*) AS n FROM every GROUP BY 1")
