@@ -124,3 +124,15 @@ def test_scalars(spark):
     assert each(spark, ["AéĀ\U0001f600"], scalars.latin1) == ["Aé??"]
     assert each(spark, [f"{'a' * 15}, {'b' * 18};{'a' * 15} {'c' * 16}"], scalars.harvest_ids) == [f"{'a' * 15};{'b' * 18}"]
     assert each(spark, [bytearray(b"\x89PNG\r\n\x1a\nx"), bytearray(b"\xff\xd8\xff\xe0"), bytearray(b"GIF8"), None], scalars.image_kind, "binary") == ["png", "jpeg", None, None]
+
+
+def test_score_counts_the_whole_text_and_each_pass(spark):
+    many = " ".join(f"word{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"{many} ñandú, été (zu)", "a"), (None, "mail jane@corp.io please", "b")], "doc_id long, text string, grp string")
+    rows = {(r.grp, r.passes): r for r in detect.score(docs).collect()}
+    assert set(rows) == {(g, p) for g in "ab" for p in ("both", "first")}
+    assert rows["a", "both"].negatives == 63 and rows["a", "both"].over_masked == 0
+    assert rows["b", "first"].positives == 1 and rows["b", "both"].leaks == 0 and rows["b", "both"].negatives == 2
+    lost = spark.createDataFrame([(1, f"{many} jane (at) corp (dot) com", "a")], "doc_id long, text string, grp string")
+    rows = {r.passes: r for r in detect.score(lost).collect()}
+    assert rows["both"].over_masked > 0 and rows["first"].over_masked == 0

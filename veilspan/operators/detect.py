@@ -54,15 +54,24 @@ def mask(docs: DataFrame, known: str | None = None, mark: str = "") -> DataFrame
     """doc_id, masked and regions of every document. ``known`` names an array column of values to look for; without it
     they are what the first pass detects. The second pass then sweeps the text for the rest. Texts that the gate
     turns away go through unchanged, unread by the costly patterns."""
+    rows = _with_spans(docs, phones.expand(F.col(known)) if known else phones.expand(detected(F.col("text"))))
+    return rows.select("doc_id", _cut(F.col("text"), F.col("_spans"), mark).alias("masked"), F.size("_spans").alias("regions"))
+
+
+def _with_spans(docs: DataFrame, values: Column) -> DataFrame:
+    """The rows with ``_spans`` of both passes and ``_located`` of the first alone."""
     text = F.col("text")
-    values = phones.expand(F.col(known)) if known else phones.expand(detected(text))
     look, none = text.rlike(GATE), F.array().cast(emails.SPANS)
     # columns of their own, because both are read more than once
     rows = docs.withColumn("_values", F.when(look, values)).withColumn("_residual", F.when(look, emails.scan_residual(text)))
     swept = F.transform("_residual", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = emails.disjoint(merged(F.concat(_located(text, F.col("_values")), swept)))
-    rows = rows.withColumn("_spans", F.when(look, found).otherwise(none))
-    return rows.select("doc_id", F.when(F.size("_spans") > 0, blank_out(text, F.col("_spans"), mark)).otherwise(text).alias("masked"), F.size("_spans").alias("regions"))
+    located = _located(text, F.col("_values"))
+    both, first = emails.disjoint(merged(F.concat(located, swept))), emails.disjoint(merged(located))
+    return rows.withColumn("_spans", F.when(look, both).otherwise(none)).withColumn("_located", F.when(look, first).otherwise(none))
+
+
+def _cut(text: Column, found: Column, mark: str = "") -> Column:
+    return F.when(F.size(found) > 0, blank_out(text, found, mark)).otherwise(text)
 
 
 def merged(found: Column) -> Column:
@@ -118,21 +127,25 @@ def residual_boxes(words: DataFrame) -> DataFrame:
     return rows.select("conv_id", "block", "line_no", "s.kind", *edges)
 
 
+#: A word of letters between white space, punctuation around it aside.
+WORD = r"(?<!\S)\p{P}*([\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*)\p{P}*(?!\S)"
+
+
 def score(docs: DataFrame) -> DataFrame:
-    """By ``grp``: decisions, leaks (a detected value that is still there), over-masked words (a word without digits
-    and @ that is gone), accuracy, recall and specificity; with the first pass alone and with both."""
-    found = docs.withColumn("must_mask", F.when(F.col("text").rlike(GATE), detected(F.col("text"))).otherwise(F.array().cast("array<string>")))
-    survive = F.array_distinct(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"^[A-Za-z]{4,}$")), 1, 20))
-    found = found.withColumn("must_survive", survive)
-    both = mask(found.select("doc_id", "text")).withColumnRenamed("doc_id", "m_id")
-    rows = found.join(both, F.col("doc_id") == F.col("m_id"))
+    """By ``grp`` and ``passes`` (``both``, or the ``first`` alone): decisions, leaks (a detected value that is still there),
+    over-masked words (a distinct word of letters, anywhere in the text, that is gone), accuracy, recall and specificity."""
+    must_mask = F.when(F.col("text").rlike(GATE), detected(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    survive = F.coalesce(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(1))), F.array().cast("array<string>"))
+    rows = _with_spans(docs.withColumn("must_mask", must_mask), phones.expand(F.col("must_mask"))).withColumn("must_survive", survive)
+    kinds = [F.struct(F.lit(name).alias("passes"), F.size(c).alias("regions"), _cut(F.col("text"), F.col(c)).alias("masked")) for name, c in (("both", "_spans"), ("first", "_located"))]
+    rows = rows.select("grp", "must_mask", "must_survive", F.inline(F.array(*kinds)))
     leaks = F.size(F.filter("must_mask", lambda v: F.col("masked").contains(v)))
-    over = F.size(F.filter("must_survive", lambda v: ~F.col("masked").contains(v)))
-    sums = rows.groupBy("grp").agg(F.sum(F.size("must_mask")).alias("positives"), F.sum(F.size("must_survive")).alias("negatives"), F.sum(leaks).alias("leaks"), F.sum(over).alias("over_masked"))
+    over = F.when(F.col("regions") > 0, F.size(F.filter("must_survive", lambda v: ~F.col("masked").contains(v)))).otherwise(0)
+    sums = rows.groupBy("grp", "passes").agg(F.sum(F.size("must_mask")).alias("positives"), F.sum(F.size("must_survive")).alias("negatives"), F.sum(leaks).alias("leaks"), F.sum(over).alias("over_masked"))
     wrong = F.col("leaks") + F.col("over_masked")
     total = F.col("positives") + F.col("negatives")
     return sums.select(
-        "grp", "positives", "negatives", "leaks", "over_masked",
+        "grp", "passes", "positives", "negatives", "leaks", "over_masked",
         F.when(total > 0, 1 - wrong / total).alias("accuracy"), F.when(F.col("positives") > 0, 1 - F.col("leaks") / F.col("positives")).alias("recall"),
         F.when(F.col("negatives") > 0, 1 - F.col("over_masked") / F.col("negatives")).alias("specificity"),
-    )
+    ).orderBy("grp", "passes")
