@@ -207,3 +207,11 @@ def test_emails_are_placed_wherever_they_stand(spark, tmp_path):
     spark.createDataFrame([(1, "Ann@b.com and ann@b.com")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = k08_place_emails(spark, str(tmp_path)).collect()
     assert sorted((r.email, r.start, r.end) for r in found) == [("Ann@b.com", 0, 9), ("Ann@b.com", 14, 23), ("ann@b.com", 0, 9), ("ann@b.com", 14, 23)]
+
+
+def test_metadata_is_scrubbed_over_the_whole_text(spark, tmp_path):
+    from veilspan.plans.detection import r16_scrubbed_metadata
+
+    rows = [(1, "en", "web", "word " * 60 + "write to ann@corp.com"), (2, "en", "web", "word " * 60), (3, "en", "web", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.title for r in r16_scrubbed_metadata(spark, str(tmp_path)).collect()} == {1: "", 2: "word " * 60, 3: None}

@@ -99,7 +99,8 @@ def is_contact_link(uri: Column) -> Column:
 def scrub_metadata(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Metadata fields that hold a number or an address become empty; others, names too, stay."""
     for c in columns:
-        rows = rows.withColumn(c, F.when(F.coalesce(F.size(emails.scan_residual(F.col(c))) > 0, F.lit(False)), F.lit("")).otherwise(F.col(c)))
+        found = F.col(c).rlike(GATE) & (F.size(emails.scan_residual(F.col(c))) > 0)
+        rows = rows.withColumn(c, F.when(F.coalesce(found, F.lit(False)), F.lit("")).otherwise(F.col(c)))
     return rows
 
 

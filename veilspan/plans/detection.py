@@ -232,7 +232,7 @@ def r15_scrubbed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def r16_scrubbed_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
-    return detect.scrub_metadata(docs.select("doc_id", F.col("source").alias("author"), F.col("lang").alias("subject"), F.substring("text", 1, 120).alias("title")), ["title", "author", "subject"])
+    return detect.scrub_metadata(docs.select("doc_id", F.col("source").alias("author"), F.col("lang").alias("subject"), F.col("text").alias("title")), ["title", "author", "subject"])
 
 
 @query()
