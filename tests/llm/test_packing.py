@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -104,3 +105,35 @@ def test_pack_places_everything(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(1200, 1500, 3000), (700, 1600, 4000), (1024, 1700, 900)])
+def test_search_beats_best_fit_where_that_misses_the_bound(low, high, n):
+    r = random.Random(n)
+    hist = Counter(r.randint(low, high) for _ in range(n))
+    patterns, bound = packing.bin_completion(hist, 4096, 400)
+    got = Counter()
+    for p, m in patterns:
+        for length, k in p:
+            got[length] += k * m
+    assert got == hist and max(capacity_used(patterns)) <= 4096
+    assert bound <= sum(m for _, m in patterns) < sum(m for _, m in packing.best_fit(hist, 4096))
+
+
+def test_fillings_are_all_of_them():
+    lengths, counts = [3, 5, 7, 11], [4, 2, 3, 1]
+    for room, waste in ((23, 0), (23, 3), (10, 10), (2, 2)):
+        every = set()
+        for k in itertools.product(*(range(c + 1) for c in counts)):
+            total = sum(a * b for a, b in zip(k, lengths, strict=True))
+            if room - waste <= total <= room:
+                every.add(k)
+        found = [tuple(dict(f).get(i, 0) for i in range(4)) for f in packing.fillings(lengths, counts, room, 4, waste)]
+        sums = [sum(a * b for a, b in zip(k, lengths, strict=True)) for k in found]
+        assert len(found) == len(set(found)) and set(found) == every and sums == sorted(sums, reverse=True)
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 1152921504606846977
+    docs = spark.createDataFrame([(None, "a"), (big, "b"), (big + 2, None)], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(docs).collect()} == {None, big, big + 2}

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of (long) keys that may be broadcast: about 16 MB as a hashed relation. Beyond it the same join shuffles.
-BROADCAST_KEYS = 500_000
+#: Bytes of rows (as counted by ``row_bytes``) that may be broadcast. Beyond it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
 #: Rows in one Arrow batch of texts; keeps a batch of long documents within a Python worker's memory.
 ARROW_ROWS = 250
 
@@ -52,12 +55,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under ``spark.checkpoint.dir``; where that is unset, a local one (tests)."""
+    """This application's folder under ``spark.checkpoint.dir``. Where that is unset, a local one serves a local
+    session, as in tests; on a cluster the executors could not see it, so there it is an error."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = f"/tmp/checkpoints/veilspan-{uuid.uuid4().hex}"
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = f"{tempfile.gettempdir()}/veilspan-{uuid.uuid4().hex}"
             spark.sparkContext.setCheckpointDir(base)
         _scratch[app] = f"{base.rstrip('/')}/veilspan-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _scratch[app])
@@ -83,10 +89,52 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def checked_small(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
-    """The table with a broadcast hint if its counted rows are at most ``most``, else as it is, so that the join
-    shuffles. The table should be materialised: it is counted here."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def solid(doc_id: Column) -> tuple[Column, Column]:
+    """A doc_id that pandas can carry: doc_id (0 if null) and no_id. A column of longs with a null among them would
+    become one of doubles there, which alters ids over 2^53."""
+    own = doc_id.cast("long")
+    return F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNull().alias("no_id")
+
+
+def nullable(df: DataFrame) -> DataFrame:
+    """What ``solid`` did, undone."""
+    return df.select(*[F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in df.columns if c != "no_id"])
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """What a value takes in a hashed relation, or a little more."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((_value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        simple = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType))
+        each = F.size(value).cast("long") * 8 if simple else F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _value_bytes(x, kind.elementType))
+        return F.coalesce(each, F.lit(0)) + 24
+    if isinstance(kind, T.MapType):
+        return _value_bytes(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    return F.lit(8).cast("long")
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """The bytes of a row in a hashed relation: its values and 48 for itself."""
+    return sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(48).cast("long"))
+
+
+def checked_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The table with a broadcast hint if its rows' bytes, summed up, are at most ``most`` (``BROADCAST_BYTES``), else as it
+    is, so that the join shuffles. The table should be materialised: it is read here."""
+    most = BROADCAST_BYTES if most is None else most
+    total = df.select(row_bytes(df).alias("b")).agg(F.sum("b")).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
+def unused(name: str, *taken: str) -> str:
+    """The name with underscores before it until none of the names taken is equal to it, whatever their case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
 
 
 def words_of(text):

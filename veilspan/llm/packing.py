@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import hand_back, materialise, text_batches
+from .common import hand_back, materialise, nullable, solid, text_batches
 
 CAPACITY = 4096
 #: Branch-and-bound nodes after the first dive; a fixed number, so that a packing never depends on the machine.
-NODES = 12_000
+NODES = 6_000
+#: Nodes of the path that keep their further fillings, and fillings that a node holds to test others for dominance.
+LEVELS, HELD = 48, 32
 #: Rank buckets for each length: N / 2000, at most this many (one bucket of a third of 3e10 rows: 1.2 million).
 MOST_BUCKETS = 8192
 
@@ -99,7 +102,7 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
     return best
 
 
-def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+def dominated(a: Sequence[int], b: Sequence[int]) -> bool:
     """Whether filling a can be had from filling b by replacing pieces of b by groups of a that fit in them."""
     if sum(a) > sum(b):
         return False
@@ -113,66 +116,60 @@ def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(lengths: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, least waste first; lengths ascend and counts are those left.
-
-    Looked at: the best single piece, the best pairs, and the best triples around the largest first pieces, each
-    topped up greedily while a piece fits."""
-    ok = np.flatnonzero(counts[: np.searchsorted(lengths, room, side="right")] > 0)
-    if not len(ok):
-        return [()]
-    ls, cs = lengths[ok], counts[ok]
-    found: set[tuple[int, ...]] = {(int(ls[-1]),)}
-    if ls[-1] != room:
-
-        def pairs(space: int, less: int = -1, most: int = 3) -> list[tuple[int, int]]:
-            top = int(np.searchsorted(ls, space, side="right"))
-            a = np.arange(top)
-            own = cs[:top] - (a == less)
-            rest = space - ls[:top]
-            b = np.minimum(np.searchsorted(ls, rest, side="right") - 1, a)
-            same = (b == a) & (own < 2)
-            b = np.where(same, b - 1, b)
-            b = np.where((b == less) & (cs[less] < 2) & (b >= 0), b - 1, b) if less >= 0 else b
-            good = (b >= 0) & (own > 0)
-            if not good.any():
-                return []
-            a, b = a[good], b[good]
-            total = ls[a] + ls[b]
-            order = np.lexsort((-ls[a], -total))[:most]
-            return [(int(ls[a[i]]), int(ls[b[i]])) for i in order]
-
-        two = pairs(room)
-        found.update(two)
-        if not two or sum(two[0]) != room:
-            for k in range(len(ls) - 1, max(-1, len(ls) - 13), -1):
-                found.update(tuple(sorted((int(ls[k]), *p), reverse=True)) for p in pairs(room - int(ls[k]), k, 1))
-    topped = set()
-    index = {int(x): int(c) for x, c in zip(ls, cs, strict=True)} if len(ls) < 64 else None
-    for f in found:
-        space, used = room - sum(f), list(f)
-        while space >= ls[0]:
-            k = int(np.searchsorted(ls, space, side="right")) - 1
-            while k >= 0 and (index[int(ls[k])] if index else int(cs[k])) <= used.count(int(ls[k])):
-                k -= 1
-            if k < 0:
-                break
-            used.append(int(ls[k]))
-            space -= used[-1]
-        topped.add(tuple(sorted(used, reverse=True)))
-    ordered = sorted(topped, key=lambda f: (-sum(f), len(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in ordered:
-        if not any(dominated(f, g) for g in kept):
-            kept.append(f)
-        if len(kept) == 4:
-            break
-    return kept
+def fillings(lengths: list[int], counts: list[int], room: int, most: int, waste: int) -> Iterator[list[tuple[int, int]]]:
+    """Every filling of a room whose waste is at most ``waste``, least waste first, each as (place, number) pairs in
+    descending order of length. Lengths ascend, ``counts`` are those left, and places under ``most`` can be used.
+
+    Sums that can be reached with the shortest k lengths are the bits of a number, so a filling is read off backwards
+    and no step of it leads nowhere. A filling that is one piece of the whole room dominates all others."""
+    most = min(most, bisect_right(lengths, room))
+    places = [i for i in range(most) if counts[i]]
+    if places and lengths[places[-1]] == room:
+        yield [(places[-1], 1)]
+        return
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for i in places:
+        length, left, sums, step = lengths[i], min(counts[i], room // lengths[i]), reach[-1], 1
+        while left:  # multiples of a length, doubled until all of its pieces are in
+            n = min(step, left)
+            sums |= (sums << (n * length)) & mask
+            left, step = left - n, 2 * step
+        reach.append(sums)
+
+    def read(k: int, rest: int) -> Iterator[list[tuple[int, int]]]:
+        if not rest:
+            yield []
+            return
+        while k and not reach[k] >> rest & 1:  # never at the first call
+            return
+        # the longest length that has to or can be in it, with each number of it
+        while k and lengths[places[k - 1]] > rest:
+            k -= 1
+        for j in range(k, 0, -1):
+            if not reach[j] >> rest & 1:
+                return
+            i = places[j - 1]
+            for n in range(min(counts[i], rest // lengths[i]), 0, -1):
+                left = rest - n * lengths[i]
+                if reach[j - 1] >> left & 1:
+                    for more in read(j - 1, left):
+                        yield [(i, n), *more]
+
+    for total in range(room, max(-1, room - waste - 1), -1):
+        if reach[-1] >> total & 1:
+            yield from read(len(places), total)
 
 
 def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[Pattern, int]], int]:
     """Patterns with multiplicities, and the lower bound. The best-fit packing is the first incumbent; depth-first
-    bin completion replaces it while it finds better, until the bound is met or ``nodes`` are spent."""
+    bin completion replaces it while it finds better, until the bound is met, everything is tried or ``nodes`` are spent.
+
+    A node takes the largest piece left and completes its bin in every undominated way, least waste first; the waste that
+    a better packing than the incumbent can still afford bounds the fillings. A completion is used as often as the
+    counts allow at first, then once only, which makes the search complete. The fillings of a node are a generator, and only
+    the last ``LEVELS`` nodes of the path keep theirs: the driver holds one set of counts and so many generators, whatever
+    the depth. A path of up to ``LEVELS`` bins is searched to the end if the nodes suffice; of a longer one the first bins
+    stay as the first dive laid them (least waste around the largest piece)."""
     hist = {int(k): int(v) for k, v in hist.items() if v}
     if any(not 0 < k <= capacity for k in hist):
         raise ValueError("piece lengths must be between 1 and the capacity")
@@ -181,52 +178,73 @@ def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, nodes: int =
     bins = sum(n for _, n in best)
     if bins == bound:
         return best, bound
-    lengths = np.array(sorted(hist), dtype=np.int64)
-    start = np.array([hist[int(x)] for x in lengths], dtype=np.int64)
-    where = {int(x): i for i, x in enumerate(lengths)}
-
-    def options(counts: np.ndarray) -> list[tuple[Pattern, int, np.ndarray]]:
-        k = int(np.flatnonzero(counts)[-1])
-        counts[k] -= 1
-        fills = fillings(lengths, counts, capacity - int(lengths[k]))
-        counts[k] += 1
-        out = []
-        for f in fills:
-            need: dict[int, int] = {int(lengths[k]): 1}
-            for x in f:
-                need[x] = need.get(x, 0) + 1
-            m = min(int(counts[where[x]]) // n for x, n in need.items())
-            left = counts.copy()
-            for x, n in need.items():
-                left[where[x]] -= n * m
-            out.append((tuple(sorted(need.items(), reverse=True)), m, left))
-        return out
-
-    def need_at_least(counts: np.ndarray) -> int:
-        return max(-(-int(counts @ lengths) // capacity), int(counts[lengths > capacity // 2].sum()))
-
-    path: list[tuple[Pattern, int]] = []
-    used, spent = 0, 0
-    budget = nodes + 2 * len(lengths)
-    stack = [iter(options(start))]
-    while stack and spent < budget and bins > bound:
+    lengths = sorted(hist)
+    counts = [hist[x] for x in lengths]
+    half = bisect_right(lengths, capacity // 2)
+    total, large = sum(n * x for x, n in hist.items()), sum(counts[half:])
+    path: list[tuple[list[tuple[int, int]], int]] = []
+    used = spent = 0
+
+    def take(need: list[tuple[int, int]], m: int) -> None:
+        nonlocal total, large, used
+        for i, n in need:
+            counts[i] -= n * m
+            total -= n * m * lengths[i]
+            large -= n * m if i >= half else 0
+        used += m
+
+    def options() -> Iterator[tuple[list[tuple[int, int]], int]]:
+        top = len(counts) - 1
+        while not counts[top]:
+            top -= 1
+        waste = (bins - 1 - used) * capacity - total
+        held: list[list[int]] = []
+        counts[top] -= 1
+        ways = fillings(lengths, counts, capacity - lengths[top], top + 1, waste)
+        while True:
+            f = next(ways, None)
+            if f is None:
+                counts[top] += 1
+                return
+            flat = [lengths[i] for i, n in f for _ in range(n)]
+            if any(dominated(flat, g) for g in held):
+                continue
+            if len(held) < HELD:
+                held.append(flat)
+            need: dict[int, int] = {top: 1}
+            for i, n in f:
+                need[i] = need.get(i, 0) + n
+            counts[top] += 1
+            m = min(counts[i] // n for i, n in need.items())
+            for times in {m: 0, 1: 0}:
+                yield list(need.items()), times
+            counts[top] -= 1
+
+    stack: deque[Iterator] = deque([options()])
+    while stack and spent < nodes + len(lengths) and bins > bound:
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
-            if path:
-                used -= path.pop()[1]
+            if stack:
+                need, m = path.pop()
+                take(need, -m)
             continue
         spent += 1
-        pattern, m, left = step
-        if used + m + need_at_least(left) >= bins:
+        need, m = step
+        take(need, m)
+        if used + max(-(-total // capacity), large) >= bins:
+            take(need, -m)
             continue
-        path.append((pattern, m))
-        used += m
-        if not left.any():
-            best, bins = list(path), used
-            used -= path.pop()[1]
+        path.append((need, m))
+        if not total:
+            best = [(tuple(sorted(((lengths[i], n) for i, n in p), reverse=True)), k) for p, k in path]
+            bins = used
+            path.pop()
+            take(need, -m)
             continue
-        stack.append(iter(options(left)))
+        stack.append(options())
+        if len(stack) > LEVELS:
+            stack.popleft().close()
     return best, bound
 
 
@@ -245,18 +263,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         end = int(tokens.END_ID).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, none, text in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"], strict=True):
                 ids = enc.ids(text if isinstance(text, str) else "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((doc, none, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
         hand_back()
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
+    schema = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return nullable(docs.select(*solid(F.col(id_col)), F.col(text_col).alias("text")).mapInPandas(cut, schema))
 
 
 def pack_pieces(table: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
