@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from veilspan.llm import secrets
+from veilspan.llm import common, secrets
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 KINDS = ["assign", "access", "hex"]
@@ -52,7 +52,30 @@ def test_ledger_scans_unseen_pairs_only(spark):
     again = secrets.scan_versions(two, ledger, "b3")
     assert spark.read.parquet(f"{ledger.path}/seen/b3").count() == 0 and sum(len(r.spans) for r in again.collect()) == 2
     newer = secrets.scan_versions(two, ledger, "b4", rule_version="next")
-    assert spark.read.parquet(f"{ledger.path}/seen/b4").count() == 3 and newer.count() == 4
+    assert spark.read.parquet(f"{ledger.path}/seen/b4").count() == 4 and newer.count() == 4
+
+
+def test_a_repeated_batch_loses_nothing(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef"), (2, "clean"), (3, "secret: zyxwvu")], "doc_id long, text string")
+    ledger = secrets.BlobLedger(spark)
+    spans = lambda rows: sorted((r.path, len(r.spans)) for r in rows.collect())
+    once = spans(secrets.find(docs, ledger))
+    assert once == [(1, 1), (2, 0), (3, 1)] and spans(secrets.find(docs, ledger)) == once and ledger.batches() == ["batch-0"]
+    other = spark.createDataFrame([(4, "password=qwertz"), (1, "token=abcdef")], "doc_id long, text string")
+    assert spans(secrets.find(other, ledger)) == [(1, 1), (4, 1)]  # other blobs under the same name are a batch of their own
+    assert spans(secrets.find(docs, ledger)) == once and ledger.batches() == ["batch-0", "batch-0.2"]
+
+
+def test_other_rules_have_their_own_gate(spark):
+    versions = spark.createDataFrame([(1, "see FOO123 and FOO9"), (2, "token=abcdef")], "path long, text string")
+    rules = (secrets.Rule("foo", r"FOO[0-9]+", least=5),)
+    found = secrets.scan_versions(versions, secrets.BlobLedger(spark), "b", rules, "foo-1").collect()
+    assert {r.path: [(s.kind, s.start, s.end) for s in r.spans] for r in found} == {1: [("foo", 4, 10)], 2: []}
+
+
+def test_keys_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    test_against_brute_force(spark)
 
 
 def test_redaction(spark):

@@ -14,6 +14,7 @@ findings; an empty table gives no rows; other columns are ignored; null ids stay
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,22 +31,26 @@ class Rule:
     group: int = 0  # the group whose length counts
     least: int = 1  # its fewest characters
     base: bool = False
+    gate: str | None = None  # a cheaper pattern without which no match of the rule can be in a text; the rule's own if None
+    fast: str | None = None  # a cheaper pattern with the same matches of the asked length
 
 
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
-    Rule("hex", r"[0-9a-f]+", 0, 24, True),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True, gate=r"(?i:passw|secret|token|api_?key)"),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True, gate="AKIA"),
+    # runs are maximal, so no shorter run hides one of 24
+    Rule("hex", r"[0-9a-f]+", 0, 24, True, gate=r"[0-9a-f]{24}", fast=r"[0-9a-f]{24,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", gate=r"gh[pousr]_"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", gate="eyJ"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", gate=r"xox[abprs]-"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", gate="-----BEGIN"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@", gate="://"),
 )
-#: One cheap look at a text: without a match of this no rule can match.
-_GATE = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|gh[pousr]_|eyJ|xox[abprs]-|-----BEGIN|://"
-#: A cheaper form of a pattern with the same matches of the asked length (runs are maximal, so no shorter run hides one).
-_SAME = {"hex": r"[0-9a-f]{24,}"}
+
+
+def gate_of(rules: tuple[Rule, ...]) -> str:
+    """One cheap look at a text: without a match of this none of the rules can match."""
+    return "|".join(f"(?:{r.gate or r.pattern})" for r in rules)
 
 
 def blob_of(text: Column) -> Column:
@@ -54,10 +59,10 @@ def blob_of(text: Column) -> Column:
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings (blob, kind, kind_no, base, start, end) of the texts of (blob, text). ``end`` is exclusive."""
-    hits = blobs.filter(F.col("text").rlike(_GATE))
+    hits = blobs.filter(F.col("text").rlike(gate_of(rules)))
     parts = []
     for no, rule in enumerate(rules):
-        pattern = _SAME.get(rule.kind, rule.pattern) if rule in RULES else rule.pattern
+        pattern = rule.fast or rule.pattern
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         size = F.regexp_extract_all("text", F.lit(pattern), F.lit(rule.group)) if rule.group else found
         parts.append(F.when(F.col("text").rlike(pattern), F.struct(
@@ -81,7 +86,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 class BlobLedger:
     """A folder of batches. A batch lists the pairs that it scanned and their findings; both are written before
-    the batch's marker, and batches without a marker are not read."""
+    the batch's marker, and batches without a marker are not read. A batch with a marker is never written again."""
 
     SEEN = "blob string, rule_version string"
     FOUND = "blob string, rule_version string, spans array<struct<start:bigint,kind_no:int,end:bigint,kind:string,base:boolean>>"
@@ -89,26 +94,38 @@ class BlobLedger:
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path = spark, path or fresh_path(spark, "ledger")
 
-    def _batches(self) -> list[str]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _fs(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[str]:
+        p, fs = self._fs("done")
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
     def read(self, what: str) -> DataFrame:
         schema = self.SEEN if what == "seen" else self.FOUND
-        paths = [f"{self.path}/{what}/{b}" for b in self._batches()]
+        paths = [f"{self.path}/{what}/{b}" for b in self.batches()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def commit(self, batch: str, seen: DataFrame, found: DataFrame) -> None:
+    def commit(self, batch: str, seen: DataFrame, found: DataFrame) -> str | None:
+        """Add a batch, and its name. A batch of that name that is committed already stays as it is: a repeated run
+        finds nothing unseen and adds nothing (None), and other pairs under the same name are a batch of their own."""
+        done = set(self.batches())
+        if batch in done:
+            if seen.isEmpty():
+                return None
+            batch = next(name for k in count(2) if (name := f"{batch}.{k}") not in done)
         seen.write.mode("overwrite").parquet(f"{self.path}/seen/{batch}")
         found.write.mode("overwrite").parquet(f"{self.path}/found/{batch}")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done/{batch}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, True).close()
+        marker, fs = self._fs(f"done/{batch}")
+        fs.create(marker, False).close()
+        return batch
 
 
 def scan_versions(versions: DataFrame, ledger: BlobLedger, batch: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
     """Scan what the ledger hasn't seen of (row, path, text), then join all its findings back: path, blob and spans,
-    an array in the order of start and kind (empty: none). A row is a version of a path.
+    an array in the order of start and kind (empty: none). A row is a version of a path. Other rules need another
+    ``rule_version``, because the ledger remembers blobs by it.
 
     One text for each unseen blob is read: the first by (path, row). Its key list is broadcast if it is small
     (a steady state), else the join shuffles."""
@@ -120,7 +137,7 @@ def scan_versions(versions: DataFrame, ledger: BlobLedger, batch: str, rules: tu
     keys = checked_small(unseen.select("u_path", "u_h"))
     # path and hash find the text again; rows that agree in both hold one blob, whose spans are a set below
     texts = versions.select(F.col("path").alias("t_path"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t_h"))
-    texts = texts.filter(F.col("text").rlike(_GATE)).join(keys, F.col("t_path").eqNullSafe(F.col("u_path")) & (F.col("t_h") == F.col("u_h")))
+    texts = texts.filter(F.col("text").rlike(gate_of(rules))).join(keys, F.col("t_path").eqNullSafe(F.col("u_path")) & (F.col("t_h") == F.col("u_h")))
     span = F.struct("start", "kind_no", "end", "kind", "base")
     found = scan(texts.select(blob_of(F.col("text")).alias("blob"), "text"), rules).groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("spans"))
     version = F.lit(rule_version).alias("rule_version")
@@ -135,7 +152,8 @@ def digest(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, ledger: BlobLedger | None = None, batch: str = "batch-0") -> DataFrame:
-    """Findings of every document: path (its doc_id), blob and spans."""
+    """Findings of every document: path (its doc_id), blob and spans. A call that is repeated on the same ledger scans
+    nothing and returns the same."""
     ledger = ledger or BlobLedger(docs.sparkSession)
     return scan_versions(docs.select(F.col("doc_id").alias("path"), F.col("text")), ledger, batch)
 
