@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
-from veilspan.llm import neardup
+import numpy as np
+
+from veilspan.llm import common, neardup
 from veilspan.llm.common import words_of
 
 
@@ -84,6 +86,7 @@ def test_leftovers_are_compared_in_blocks(spark, monkeypatch):
     """With one hub a bucket, what is unlike it goes to the blocks; the result is the same."""
     monkeypatch.setattr(neardup, "HUBS", 1)
     monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "TEXT_BLOCK", 2)
     rows = corpus(2, 12, 9)
     assert got(spark, rows) == brute(rows)
 
@@ -93,3 +96,41 @@ def test_posterior_bounds():
     assert len(least) == neardup.PERMUTATIONS // neardup.BATCH
     assert all(0 <= a < neardup.BATCH * (i + 1) for i, a in enumerate(least)) and least == sorted(least)
     assert 50 < least[-1] < 96
+
+
+def test_no_link_is_lost_between_clusters(spark):
+    """A bucket of strangers and two pairs, where the weaker link (1, 3) alone joins the pairs."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 256, neardup.PERMUTATIONS, dtype=np.uint8)
+
+    def changed(sketch, at):
+        out = sketch.copy()
+        out[list(at)] += 101
+        return out
+
+    nodes = {1: base, 2: changed(base, range(4)), 3: changed(base, range(100, 118)), 4: changed(changed(base, range(100, 118)), range(50, 70))}
+    nodes |= {100 + i: r.integers(0, 256, neardup.PERMUTATIONS, dtype=np.uint8) for i in range(60)}
+    table = spark.createDataFrame([(i, [7], v.tobytes()) for i, v in nodes.items()], "doc_id long, bands array<long>, sketch binary")
+    found = neardup.candidates(table).collect()
+    assert all(x.m == int((nodes[x.a] == nodes[x.b]).sum()) for x in found)
+    label = {i: i for i in nodes}
+    for x in found:
+        low, high = sorted((label[x.a], label[x.b]))
+        label = {i: low if v == high else v for i, v in label.items()}
+    assert {i for i, v in label.items() if v == 1} == {1, 2, 3, 4} and len(set(label.values())) == 61
+
+
+def test_large_ids_beside_nulls_and_repeated_ids(spark):
+    big = 1152921504606846977
+    rows = [(None, "a b c d e f"), (big, "a b c d e f"), (big - 1, "u v w x y z"), (big + 5, "u v w x y z"), (None, None)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(None, None), (big, big), (big - 1, big - 1), (big + 5, big - 1)}
+    twice = [(1, "a b c d e f"), (1, "k l m n o p"), (2, "k l m n o p"), (3, "a b c d e f"), (4, "q r s t u v w"), (None, "a b c d e f")]
+    out = neardup.near_duplicates(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in out) == [(0, 2, 0), (1, 2, 1), (1, 2, 1), (2, 2, 2), (3, 2, 1), (4, 3, 4)]
+
+
+def test_tables_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = corpus(3, 12, 9)
+    assert got(spark, rows) == brute(rows)

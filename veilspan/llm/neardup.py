@@ -6,14 +6,17 @@ batch on signature bytes and dropped once the posterior probability that they re
 the survivors are verified on the full sets.
 
 A bucket is never expanded into its pairs. Equal word sequences are one node. In each bucket every member meets a hub
-(chosen anew in each band), each node's most similar partner is verified first, and the components of the verified links
-are contracted. Candidates that hang together but are still in different components are compared exactly, in blocks:
-those outside the largest component against all, and only links come out. So a candidate pair is verified, or lies
-inside a component already, and a large group of copies costs a few links a member.
+(chosen anew in each band), and what is unlike it a second one; members that hang together by such pairs are one cluster.
+Where a bucket still holds several clusters, their sketches are compared in blocks, and of the pairs that the signatures
+don't rule out only those that join two clusters come out. So the clusters are those of all pairs of the buckets. Each
+node's most similar partner is verified first, and the components of the verified links are contracted. Members of one
+cluster that are still in different components are compared exactly, in blocks: those outside the largest component
+against all, and only links come out. So a candidate pair is verified, or lies inside a component already, and a large group of copies costs a few links a member.
 
 Defined cases: null or empty texts have no shingles and no links; a text of fewer than five words has its whole
-sequence as one shingle; rows that share a doc_id are one node; rows without a doc_id are never linked, have a null
-component and are kept; an empty table gives no rows; other columns are ignored.
+sequence as one shingle; rows that share a doc_id are one node, whose links are those of the least of its texts (each row
+still states the size of its own set); rows without a doc_id are never linked, have a null component and are kept; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_small, hand_back, materialise, text_batches, worker_cache, words_of
+from .common import checked_small, hand_back, materialise, nullable, solid, text_batches, worker_cache, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -36,8 +39,10 @@ PERMUTATIONS = BANDS * ROWS
 #: Probability of dropping, before the exact look, a pair that reaches the limit.
 MISS = 1e-6
 BATCH = 16
-#: Hubs that a bucket's members meet one after another, and the rows of a block where blocks are compared.
-HUBS, BLOCK = 2, 128
+#: Hubs that a bucket's members meet one after another.
+HUBS = 2
+#: A side's rows in a block where sketches, and where texts are compared; a block of texts has about ``BLOCK_BYTES`` at most.
+BLOCK, TEXT_BLOCK, BLOCK_BYTES = 512, 128, 4 << 20
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _seeds = np.random.default_rng(20240229)
@@ -96,23 +101,21 @@ def features(docs: DataFrame) -> DataFrame:
         shift = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, none, text in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"], strict=True):
                 words = words_of(text if isinstance(text, str) else None)
                 s = shingles(words)
                 if not len(s):
-                    rows.append((doc, 0, None, None, None))
+                    rows.append((doc, none, 0, None, None, None))
                     continue
                 sig = signature(s)
                 keys = _mix((sig.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + shift)
                 mixed = (sig * np.uint32(0x9E3779B1)) >> np.uint32(24)
-                rows.append((doc, len(s), xxhash.xxh3_128_digest(b" ".join(words)), keys.view(np.int64), mixed.astype(np.uint8).tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "digest", "bands", "sketch"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append((doc, none, len(s), xxhash.xxh3_128_digest(b" ".join(words)), keys.view(np.int64), mixed.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "n", "digest", "bands", "sketch"])
         hand_back()
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return slim.mapInPandas(of, "doc_id long, n long, digest binary, bands array<long>, sketch binary")
+    slim = docs.select(*solid(F.col("doc_id")), F.col("text").alias("text"))
+    return nullable(slim.mapInPandas(of, "doc_id long, no_id boolean, n long, digest binary, bands array<long>, sketch binary"))
 
 
 def least_matches(limit: float = LIMIT[0] / LIMIT[1], miss: float = MISS) -> list[int]:
@@ -168,7 +171,8 @@ def verified(pairs: DataFrame, docs: DataFrame, limit: tuple[int, int] = LIMIT)
     the pairs' ids; each pair then meets by its own key, so a hub's partners are spread over all tasks."""
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
-    met = texts.join(checked_small(ends), "doc").groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
+    one = F.col("doc") == F.col("a")
+    met = texts.join(checked_small(ends), "doc").groupBy("a", "b").agg(F.min(F.when(one, F.col("text"))).alias("x"), F.min(F.when(~one, F.col("text"))).alias("y"))
     text_batches(docs.sparkSession)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,52 +189,80 @@ def verified(pairs: DataFrame, docs: DataFrame, limit: tuple[int, int] = LIMIT)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, m): pairs of a bucket's hub and its members that the signatures don't rule out. Members that are unlike
-    their hub meet another one of their bucket; what is left after ``HUBS`` of them is compared in blocks."""
+    """(a, b, m): pairs that the signatures don't rule out, whose components are those of all such pairs within a bucket.
+
+    Each bucket's members meet a hub; those unlike it meet a second one. What lies in different clusters then, and shares
+    a bucket, is compared in blocks, see ``_between``."""
     rows = nodes.select(F.explode("bands").alias("key"), "doc_id")
-    near = None
+    near = members = None
     for turn in range(HUBS):
         ordered = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("o"), F.col("doc_id"))
         buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(ordered).alias("hub")).filter("size > 1")
         # written first: the join then has shuffles of its own, which Spark can split at a hot key, or none
-        buckets = materialise(buckets.select("key", F.col("hub.doc_id").alias("hub")), "hubs")
-        shared = rows.join(checked_small(buckets), "key").filter("doc_id <> hub")
+        buckets = materialise(buckets.select("key", "size", F.col("hub.doc_id").alias("hub")), "hubs")
+        shared = rows.join(checked_small(buckets.select("key", "hub")), "key").filter("doc_id <> hub")
         shared = materialise(shared.select("key", "doc_id", F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")), "buckets")
+        if members is None:  # a bucket of two is done once they met
+            wide = buckets.filter("size > 2")
+            members = shared.select("key", "doc_id").join(checked_small(wide.select("key")), "key", "left_semi").unionByName(wide.select("key", F.col("hub").alias("doc_id")))
         found = materialise(survivors(shared.select("a", "b").distinct(), nodes), "near")
         near = found if near is None else near.unionByName(found)
         rows = materialise(shared.join(found, ["a", "b"], "left_anti").select("key", "doc_id").distinct(), "unlike")
         if rows.isEmpty():
-            return near
-    left = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    rows = rows.join(left.select("key"), "key", "left_semi").join(nodes.select("doc_id", "sketch"), "doc_id")
-    need = least_matches()[-1]
+            break
+    return near.unionByName(_between(members, near, nodes)).distinct()
+
+
+def _between(members: DataFrame, near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, m) that join clusters of near pairs: members (key, doc_id) of a bucket that lie in different clusters are
+    compared by their sketches, those outside a bucket's largest cluster against all its members, in blocks. A block gives
+    one pair at most for each two clusters that it joins."""
+    labelled = _labelled(members, components(near), "doc_id", "c")
+    parts = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("size", "c")).alias("top")).filter("kinds > 1")
+    mixed = materialise(mixed.select("key", F.col("top.c").alias("top")), "mixed")
+    tagged = materialise(labelled.join(checked_small(mixed), "key").select("key", "doc_id", "c", "top"), "tagged")
+    rows = tagged.join(nodes.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "c", "top", "sketch")
+    least = least_matches()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Each left row's most similar right row, if the signatures don't rule it out."""
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        ids, other = x["doc_id"].to_numpy(), y["doc_id"].to_numpy()
+        names, place = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+        root = np.arange(len(names))
+        mine, other = place[(pdf["side"] == 0).to_numpy()], place[(pdf["side"] == 1).to_numpy()]
+        ids, its = x["doc_id"].to_numpy(), y["doc_id"].to_numpy()
         p = np.frombuffer(b"".join(x["sketch"]), dtype=np.uint8).reshape(-1, PERMUTATIONS)
         q = np.frombuffer(b"".join(y["sketch"]), dtype=np.uint8).reshape(-1, PERMUTATIONS)
         out = []
-        for i in range(len(ids) if len(other) else 0):
-            m = np.where(other == ids[i], -1, (q == p[i]).sum(axis=1))
-            k = int(np.argmax(m))
-            if m[k] >= need:
-                out.append((min(ids[i], other[k]), max(ids[i], other[k]), int(m[k])))
+        for i in range(len(ids)):
+            alive = np.flatnonzero(root[other] != root[mine[i]])
+            total = np.zeros(len(alive), dtype=np.int32)
+            for k, need in enumerate(least):
+                cut = slice(k * BATCH, (k + 1) * BATCH)
+                total = total + (q[alive, cut] == p[i, cut]).sum(axis=1, dtype=np.int32)
+                still = total >= need
+                alive, total = alive[still], total[still]
+                if not len(alive):
+                    break
+            for j, m in zip(alive.tolist(), total.tolist(), strict=True):
+                a, b = root[mine[i]], root[other[j]]
+                if a != b:
+                    root[root == b] = a
+                    out.append((min(ids[i], its[j]), max(ids[i], its[j]), m))
         return pd.DataFrame(out, columns=["a", "b", "m"]).astype({"a": "int64", "b": "int64", "m": "int32"})
 
-    blocks = _blocks(rows, rows, "key", ["doc_id", "sketch"])
-    return near.unionByName(blocks.groupBy("key", "lb", "rb").applyInPandas(compare, "a long, b long, m int").distinct())
+    blocks = _blocks(rows.filter("c <> top"), rows, "key", ["doc_id", "c", "sketch"], F.ceil(F.count(F.lit(1)) / BLOCK))
+    return materialise(blocks.groupBy("key", "lb", "rb").applyInPandas(compare, "a long, b long, m int").distinct(), "between")
 
 
-def _blocks(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of two sides that meet by a key, in pairs of blocks of about ``BLOCK`` rows a side: key, lb, rb, side
-    and the columns. A side's row stands once for each block of the other side."""
-    number = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    sizes = materialise(number(left, "ln").join(number(right, "rn"), key), "blocks")
+def _blocks(left: DataFrame, right: DataFrame, key: str, columns: list[str], number: Column) -> DataFrame:
+    """Rows of two sides that meet by a key, in pairs of blocks: key, lb, rb, side and the columns. ``number`` is the
+    number of blocks of a side's group, an aggregate. A side's row stands once for each block of the other side."""
+    sizes = [rows.groupBy(key).agg(number.cast("int").alias(name)) for rows, name in ((left, "ln"), (right, "rn"))]
+    sizes = materialise(sizes[0].join(sizes[1], key), "blocks")
 
     def side(rows: DataFrame, own: str, other: str, mine: str, theirs: str, no: int) -> DataFrame:
-        rows = rows.join(sizes, key).withColumn(mine, F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int"))
+        rows = rows.join(checked_small(sizes), key).withColumn(mine, F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int"))
         rows = rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         return rows.select(key, "lb", "rb", F.lit(no).alias("side"), *columns)
 
@@ -269,13 +301,30 @@ def _across(clusters: DataFrame, labels: DataFrame, docs: DataFrame, limit: tupl
             out += [(min(doc, o), max(doc, o)) for o in ids[good][first]]
         return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
-    blocks = _blocks(whole.filter("c <> top"), whole, "cluster", ["doc_id", "c", "text"])
+    number = F.greatest(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES))
+    blocks = _blocks(whole.filter("c <> top"), whole, "cluster", ["doc_id", "c", "text"], number)
     return blocks.groupBy("cluster", "lb", "rb").applyInPandas(link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     feats = materialise(features(docs), "features")
+    named = feats.filter("doc_id is not null and n > 0")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b")
+    if not several.isEmpty():
+        return _repeated_ids(docs, feats)
+    return _linked(docs, feats)
+
+
+def _repeated_ids(docs: DataFrame, feats: DataFrame) -> DataFrame:
+    """The same where a doc_id stands for several texts: the least of them stands for all."""
+    one = materialise(docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text")), "least")
+    of = _linked(one, materialise(features(one), "features")).select(F.col("doc_id").alias("_id"), "component_id", "kept")
+    rows = feats.select("doc_id", F.col("n").alias("n_shingles")).join(of, F.col("doc_id") == F.col("_id"), "left")
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def _linked(docs: DataFrame, feats: DataFrame) -> DataFrame:
     named = feats.filter("doc_id is not null and n > 0")
     first = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
     joined = named.join(first, "digest").filter("doc_id = rep").select("doc_id", "bands", "sketch")
