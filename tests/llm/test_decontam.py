@@ -1,6 +1,6 @@
 import random
 
-from veilspan.llm import decontam
+from veilspan.llm import common, decontam
 
 WORDS = [f"word{i}" for i in range(3000)]
 
@@ -13,7 +13,7 @@ def brute(docs, items):
         a = split(text)
         for k, item in items:
             b = split(item)
-            if len(b) < decontam.SHORTEST:
+            if not b:
                 continue
             for shift in range(-len(b) + 1, len(a)):
                 same = [a[shift + p] == b[p] for p in range(len(b)) if 0 <= shift + p < len(a)]
@@ -38,7 +38,7 @@ def leaks(spark, docs, items):
 def test_against_brute_force(spark):
     r = random.Random(3)
     text = lambda n: [r.choice(WORDS) for _ in range(n)]
-    items = [(i, " ".join(text(r.choice([6, 9, 15, 30, 50])))) for i in range(25)]
+    items = [(i, " ".join(text(r.choice([1, 2, 4, 6, 9, 15, 30, 50])))) for i in range(25)]
     docs = []
     for d in range(80):
         body = text(r.randint(0, 120))
@@ -51,7 +51,7 @@ def test_against_brute_force(spark):
         docs.append((d, r.choice([" ", ", ", "\n"]).join(body).title()))
     found, want = set(leaks(spark, docs, items)), brute(docs, items)
     assert found <= want
-    assert len(want) > 25 and len(found) >= 0.97 * len(want)
+    assert len(want) > 25 and found == want
     exact = {(d, k) for d, t in docs for k, i in items if " ".join(i.split()) in " ".join("".join(c.lower() if c.isalnum() else " " for c in t).split())}
     assert exact <= found
 
@@ -64,6 +64,17 @@ def test_cases(spark):
     assert set(found) == {(d, k) for d in (1, 4, None, 7) for k in (10, 11)} | {(6, 12)}
     assert found[(None, 10)].start == 30 and found[(1, 10)].matched == 15 and found[(6, 12)].start == 2
     assert not leaks(spark, docs, []) and not leaks(spark, [], items)
+    # items of one to four words, separators before the first word, the end of an item at the start of a text
+    docs = [(1, "... (Lone) word"), (2, "lonely words"), (3, "--- a b, c d."), (4, "b c d a"), (5, " ".join(item.split()[-6:]))]
+    found = leaks(spark, docs, [(1, "lone"), (2, "a b c d"), (3, "c d"), (4, item)])
+    assert {k: (r.start, r.matched, r.length) for k, r in found.items()} == {(1, 1): (0, 1, 1), (3, 2): (0, 4, 4), (3, 3): (2, 2, 2), (4, 3): (1, 2, 2)}
+
+
+def test_chunks_and_shuffled_joins_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontam, "CHUNK", 7)
+    test_against_brute_force(spark)
+    test_any_stretch_that_meets_the_rule(spark)
 
 
 def test_substitutions(spark):
@@ -75,7 +86,7 @@ def test_substitutions(spark):
             w[i] = w[j] = "other"
             docs.append((20 * i + j, " ".join(w)))
     found = leaks(spark, docs, [(1, " ".join(item))])
-    assert len(found) >= 0.95 * len(docs)
+    assert len(found) == len(docs)
 
 
 def missed(masks, most=400):
