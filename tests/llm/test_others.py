@@ -71,6 +71,22 @@ def test_rejection_by_distance():
     assert langid.fit_vectors([]).predict("text") == ("und", 0.0, True)
 
 
+def test_sample_is_bounded_and_needs_no_ids(spark, monkeypatch):
+    """Rows without a doc_id, one doc_id for many rows, and one text for a third of all rows."""
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    rng = np.random.default_rng(3)
+    names = sorted(LANGS)
+    texts = [(" ".join(rng.choice(LANGS[names[i % 3]].split(), 12)), names[i % 3]) for i in range(900)] + [(LANGS["de"], "de")] * 450
+    seen = []
+    fit_vectors = langid.fit_vectors
+    monkeypatch.setattr(langid, "fit_vectors", lambda rows, *a: seen.append(len(rows)) or fit_vectors(rows, *a))
+    for own in (None, 7):
+        docs = spark.createDataFrame([(own, t, lang) for t, lang in texts], "doc_id long, text string, lang string")
+        out = [(r.lang, r.language.lang_pred) for r in langid.identify(docs).collect()]
+        assert len(out) == 1350 and sum(a == b for a, b in out) > 1300
+    assert seen == [60, 60]
+
+
 def test_no_documents_and_no_labels(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     out = langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).first()
@@ -105,6 +121,38 @@ def test_plain_and_cut_off_pages(spark):
     assert sorted(len(r.main_text) > 0 for r in rows) == [False, True]
 
 
+S1 = "The first paragraph of the article is long enough to be told from a menu, and it goes on for a while so that it counts."
+S2 = "A second paragraph follows it, with some words in its middle, and says some more about the same thing as before."
+S3 = "The third one closes the piece with a remark that nobody asked for, but that fills the line as it should."
+BODY = f"<p>{S1}</p><p>{S2}</p><p>{S3}</p>"
+WHOLE = f"{S1}\n\n{S2}\n\n{S3}"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (BODY, WHOLE),
+    (f"<div><a href=/>Home</a> | <a href=/a>About us</a></div><div><h1>Title here</h1>{BODY}</div><div>Copyright 2024 nobody</div>", f"Title here\n\n{WHOLE}"),
+    (f"<div>Home</div><div>About us</div><div>Privacy policy</div><div>{BODY}</div><div>Imprint</div><div>Terms</div>", WHOLE),
+    (f"<body><div>Home</div><div>About us</div>{BODY}</body>", WHOLE),
+    (f"<body><div>Buy one, get one free: only this week!</div><div>{BODY}</div></body>", WHOLE),
+    (f"<body><div>{BODY}</div><div><span>Offers</span><p>Cheap shoes.</p><p>Cheap hats.</p></div></body>", WHOLE),
+    (f"<body><div>{BODY}</div><div><h3>Comments</h3><div><b>Ann</b><p>Great post!</p></div><div><b>Bob</b><p>Thanks, I learned a lot.</p></div></div></body>", WHOLE),
+    (f"<body><div>{BODY}</div><div id='comments'>{f'<p>{S1}</p>' * 9}</div></body>", WHOLE),
+    (f"<body><div class='legal'>{BODY}</div></body>", WHOLE),
+    (f"<body><div class='search-results'>{BODY}</div></body>", WHOLE),
+    (f"<body><div class='post side-by-side'>{BODY}</div></body>", WHOLE),
+    (f"<body><div class='notice'>{BODY}</div><div>Imprint</div></body>", WHOLE),
+    (f"<body><div><div>{S1}</div><div>{S2}</div><div>{S3}</div></div><div>Imprint</div></body>", WHOLE),
+    (f"<body><div><div><h2>One</h2><p>{S1}</p></div><div><h2>Two</h2><p>{S2}</p></div></div></body>", f"One\n\n{S1}\n\nTwo\n\n{S2}"),
+    (f"<article><p>{S1}</p><div class='ad'>Buy now, a long advert with many words in it.</div><p>{S2}</p><aside>{S1}</aside><p>{S3}</p></article>", WHOLE),
+    (f"<body><div class='cookie-banner'><p>We use cookies to make this site work better for you.</p><button>OK</button></div><main>{BODY}</main></body>", WHOLE),
+    ("<body><article><h1>Yes</h1><p>No.</p></article><div>An advert that is longer than all else here, by far.</div></body>", "Yes\n\nNo."),
+    (f"<p>See <a title=\"x>link</a> for it. {S1}</p><p class=\"y\">{S3}</p><p title=don't>{S2}</p><p title='a<b>c'>x.</p>", f"See link for it. {S1}\n\n{S3}\n\n{S2}\n\nx."),
+    (f"<div>{BODY}" + "</b></x>" * 20_000 + "<div>" * 20_000, WHOLE),
+])
+def test_blocks_decide(page, want):
+    assert html_extract.main_text(page) == want
+
+
 # ---------------------------------------------------------------- urls
 
 

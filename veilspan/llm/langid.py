@@ -2,12 +2,13 @@
 centroids for each language, cosine, and rejection by distance.
 
 A text's trigrams are those of its lower-cased letters with every run of other characters as one blank, without
-tokens that hold a digit or an @. The model is fitted on a bounded sample of labelled rows (``SAMPLE`` texts, dealt evenly over the languages and chosen
-by a hash of doc_id); prediction reads every whole text in blocks of ``BLOCK`` characters.
+tokens that hold a digit or an @. The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` distinct
+texts, dealt evenly over the ``MOST_LANGUAGES`` commonest languages, those with the least hashes of their text. Prediction
+reads every whole text in blocks of ``BLOCK`` characters.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; ties go to the language
-that sorts first; no labelled text at all gives ``und`` for every text; very long texts are read whole; other
-columns pass through untouched.
+that sorts first; no labelled text at all gives ``und`` for every text; null and repeated doc_ids and repeated texts are
+sampled like any other, a text once; very long texts are read whole; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hand_back, text_batches, worker_cache
 
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
-#: Most labelled texts that a fit reads.
-SAMPLE = 4096
+#: Most labelled texts that a fit reads, and most languages that it learns.
+SAMPLE, MOST_LANGUAGES = 4096, 512
 BLOCK = 1 << 20
 #: A text is rejected if its cosine is under this share of the least cosine of its language's training texts.
 REJECT_SHARE = 0.5
@@ -104,7 +105,8 @@ class Model:
 
 
 def fit_vectors(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = CENTROIDS) -> Model:
-    """Spherical k-means in each language over the sampled vectors, from farthest-first seeds."""
+    """Spherical k-means in each language over the sampled vectors, from farthest-first seeds. Vectors stay sparse: one
+    language's weights are held at a time, as one run of bins."""
     langs = sorted({lang for lang, _, _ in rows})
     df = np.zeros(DIMENSIONS)
     for _, bins, _ in rows:
@@ -113,55 +115,71 @@ def fit_vectors(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int =
     model = Model(langs, np.empty(0, dtype=int), np.empty((0, DIMENSIONS)), idf, np.zeros(len(langs)))
     of, stacked = [], []
     for i, lang in enumerate(langs):
-        own = [model.weigh(b, c) for name, b, c in rows if name == lang]
-        where = [b for name, b, _ in rows if name == lang]
-        full = np.zeros((len(own), DIMENSIONS), dtype=np.float32)
-        for r, (b, w) in enumerate(zip(where, own, strict=True)):
-            full[r, b] = w
-        mean = full.mean(axis=0)
-        seeds = [int(np.argmax(full @ mean))]
-        near = full @ full[seeds[0]]
-        while len(seeds) < min(centroids, len(full)):
+        own = [(b, c) for name, b, c in rows if name == lang]
+        size = np.array([len(b) for b, _ in own])
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        bins = np.concatenate([b for b, _ in own])
+        weight = np.concatenate([model.weigh(b, c).astype(np.float32) for b, c in own])
+        row = np.repeat(np.arange(len(own)), size)
+
+        def cosines(c: np.ndarray, bins=bins, weight=weight, starts=starts) -> np.ndarray:
+            """Inner products of all vectors with a dense one."""
+            return np.add.reduceat(weight * c.astype(np.float32)[bins], starts)
+
+        def dense(k: int, own=own) -> np.ndarray:
+            out = np.zeros(DIMENSIONS)
+            out[own[k][0]] = model.weigh(*own[k])
+            return out
+
+        seeds = [int(np.argmax(cosines(np.bincount(bins, weights=weight, minlength=DIMENSIONS) / len(own))))]
+        near = cosines(dense(seeds[0]))
+        while len(seeds) < min(centroids, len(own)):
             k = int(np.argmin(near))
             if near[k] > 1 - 1e-6:
                 break
             seeds.append(k)
-            near = np.maximum(near, full @ full[k])
-        c = full[seeds]
+            near = np.maximum(near, cosines(dense(k)))
+        c = np.stack([dense(k) for k in seeds])
         for _ in range(10):
-            to = np.argmax(full @ c.T, axis=1)
-            c = np.stack([full[to == k].sum(axis=0) if (to == k).any() else c[k] for k in range(len(c))])
+            to = np.argmax(np.stack([cosines(x) for x in c]), axis=0)
+            sums = [np.bincount(bins, weights=weight * (to == k)[row], minlength=DIMENSIONS) if (to == k).any() else c[k] for k in range(len(c))]
+            c = np.stack(sums)
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        model.least[i] = float((full @ c.T).max(axis=1).min())
+        model.least[i] = float(np.stack([cosines(x) for x in c]).max(axis=0).min())
         of += [i] * len(c)
         stacked.append(c)
     if stacked:
-        model.of, model.centroids = np.array(of), np.concatenate(stacked).astype(np.float64)
+        model.of, model.centroids = np.array(of), np.concatenate(stacked)
     return model
 
 
-def fit(labelled: DataFrame, lang: Column, text: Column, key: Column, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """Fit on at most about ``sample`` of the labelled rows. Only trigram counts of the sampled texts come to the
+def fit(labelled: DataFrame, lang: Column, text: Column, sample: int | None = None, centroids: int = CENTROIDS) -> Model:
+    """Fit on at most ``sample`` texts of the labelled rows. Only trigram counts of the sampled texts come to the
     driver, never texts."""
     spark = labelled.sparkSession
-    rows = labelled.select(lang.cast("string").alias("lang"), text.alias("text"), F.xxhash64(key.cast("string"), F.lit("fit")).alias("h")).filter("lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the upper half of a 64-bit hash, as a number from 0 to 2^32; equal texts are one
+    rows = labelled.select(lang.cast("string").alias("lang"), text.alias("text"), F.xxhash64(text, F.lit("fit")).alias("h")).filter("lang is not null and text is not null")
+    rows = rows.withColumn("spot", F.shiftrightunsigned("h", 32))
+    kinds = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.05).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in kinds.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return fit_vectors([])
-    each = max(1, sample // len(counts))
-    bounds = [(name, int(min(1.0, each / n) * (1 << 32))) for name, n in counts.items()]
+    each = max(1, (sample or SAMPLE) // len(counts))
+    # a share that holds ``each`` texts for certain, up to chance, then exactly the least of them
+    bounds = [(name, int(min(1.0, (2 * each + 64) / max(n, 1)) * (1 << 32))) for name, n in counts.items()]
     table = spark.createDataFrame(bounds, "lang string, most long")
-    chosen = rows.join(F.broadcast(table), "lang").filter(F.shiftrightunsigned("h", 32) < F.col("most")).select("lang", "text")
+    chosen = rows.join(F.broadcast(table), "lang").filter(F.col("spot") < F.col("most")).select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= each).select("lang", "text")
     text_batches(spark)
 
     def vectors(batches):
         for b in batches:
-            out = [(name, *(x.astype("<i4").tobytes() for x in trigrams(t))) for name, t in zip(b["lang"], b["text"], strict=True)]
+            out = [(name, *(x.astype(kind).tobytes() for x, kind in zip(trigrams(t), ("<u2", "<u4"), strict=True))) for name, t in zip(b["lang"], b["text"], strict=True)]
             yield pd.DataFrame([x for x in out if x[1]], columns=["lang", "bins", "counts"])
 
     got = chosen.mapInPandas(vectors, "lang string, bins binary, counts binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["bins"]), bytes(r["counts"])))
-    model = fit_vectors([(r["lang"], np.frombuffer(r["bins"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i4")) for r in got], centroids)
+    model = fit_vectors([(r["lang"], np.frombuffer(r["bins"], dtype="<u2"), np.frombuffer(r["counts"], dtype="<u4")) for r in got], centroids)
     del got
     hand_back()
     return model
@@ -190,5 +208,5 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, out: str = "lan
     doc_id, text, lang; the held-out documents are left out), by default on ``docs``."""
     rows = docs if labelled is None else labelled
     text_batches(docs.sparkSession)
-    model = fit(rows.filter(~held_out(F.col("doc_id"))), F.col("lang"), F.col("text"), F.col("doc_id"))
+    model = fit(rows.filter(~held_out(F.col("doc_id"))), F.col("lang"), F.col("text"))
     return docs.withColumn(out, predictor(model)(F.col("text")))
