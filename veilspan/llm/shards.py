@@ -33,7 +33,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     keys = ["doc_id", "text_crc32", "size"]
     parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Written once, so that the range a row fell in stays fixed whatever is recomputed later.
-    ranged = materialise(slim.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), "ranges")
+    # The last key deals equal rows, of which one table may hold very many, to several ranges.
+    dealt = slim.withColumn("turn", F.monotonically_increasing_id())
+    ranged = materialise(dealt.repartitionByRange(parts, *keys, "turn").drop("turn").withColumn("part", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     before, at, row = [], 0, 0
     for t in totals:  # one row for each range
