@@ -166,7 +166,7 @@ def test_hosts_paths_and_rules(spark):
     assert out[1] == ("www.example.com", "/en/7/a", "example.com/en/7", "allow") and out[2][2:] == ("com/en/", "block")
     assert out[3][2:] == ("net/de/", "allow") and out[4][2:] == ("example.net/de/8", "block") and out[5][2:] == ("org/es/", "block")
     assert out[6] == ("", "", None, "allow") and out[7] == ("", "", None, "allow")
-    assert out[8][2] == "com/en/" and out[9][2] is None and out[10] == ("a.com", "", None, "allow") and out[11][0] == "y:"
+    assert out[8][2] == "com/en/" and out[9] == ("notcom", "/en/1", None, "allow") and out[10][:3] == ("a.com", "", None) and out[11][0] == "y:"
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
@@ -180,6 +180,32 @@ def test_templates_learn_from_labels(spark):
     assert {out[200 + i].verdict for i in range(40)} == {"allow"}
 
 
+def test_tree_merges_at_every_level_and_backs_off(spark):
+    rows = [(i, f"http://h.x/blog/{'abc'[i % 3]}/{i}") for i in range(60)] + [(100 + i, f"http://h.x/blog/good/{i}/x") for i in range(30)]
+    rows += [(200, "http://h.x/blog/new/1"), (201, "http://h.x/"), (202, "http://other.y/blog/a/1"), (203, "http://h.x/blog/a/1/2/3/4/5/6/7/8/9/end")]
+    rows += [(300 + i, f"http://www.bad.zz/p/{i}") for i in range(30)] + [(400, "http://new.bad.zz/q"), (401, "http://else.zz/q")]
+    labels = [(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(30)] + [(300 + i, 1) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'h' as host", "1 as n", "2 as own")
+    out = {r.page_id: r for r in urlfilter.judge(pages, rules=(), labels=spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert len(out) == len(rows) and {out[i].template for i in range(60)} == {"/blog/a|b|c/*"}
+    assert {out[i].verdict for i in range(60)} == {"block"} and {out[100 + i].verdict for i in range(30)} == {"allow"}
+    assert out[200].template == "/blog/new/*" and out[202].verdict == "allow" and out[203].template == "/blog/a|b|c/*/*/*/*/*/*/*/*/*/end"
+    assert out[200].purity == pytest.approx(out[201].purity, abs=0.1)  # no labels of its own: that of the node above
+    assert out[203].verdict == "block" and out[400].verdict == "block" and out[401].verdict == "block" and out[202].purity == pytest.approx(0.2)
+
+
+def test_tree_by_hand(spark):
+    """Purities of a small tree, worked out from the definition."""
+    rows = [(1, "http://a.t/x/1"), (2, "http://a.t/x/2"), (3, "http://a.t/y/3"), (4, "http://b.t/x/4")]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "page_id long, bad int")
+    out = {r.page_id: r.purity for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=(), labels=labels).collect()}
+    smooth = lambda bad, n, above: (bad + 5 * above) / (n + 5)
+    t = smooth(2, 3, 0.2)
+    a, b = smooth(2, 3, t), smooth(0, 0, t)
+    merged = smooth(2, 3, a)  # shares of 1 in 2 and 0 in 1 are less than 1.96 deviations apart
+    assert out == pytest.approx({1: smooth(2, 3, merged), 2: smooth(2, 3, merged), 3: smooth(2, 3, merged), 4: b})
+
+
 # ---------------------------------------------------------------- token counts
 
 
@@ -200,6 +226,23 @@ def test_rollup_follows_deltas_and_repeats_nothing(spark):
     assert key() == {} and rollup.batches() == ["b1", "b2", "b3", "b4"]
 
 
+def test_totals_are_maintained_and_survive_a_crash(spark):
+    rows = [("s", "en", "v1", 5, 9), ("s", "de", "v1", 2, 3)]
+    counted = spark.createDataFrame(rows, "source string, lang string, tokenizer_version string, n_tokens long, n_bytes long")
+    rollup = tokencounts.Rollup(spark)
+    for k in range(5):
+        assert rollup.commit(f"day/{k}", tokencounts.inserts(counted))
+    assert {(r.lang, r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == {("en", 5, 25), ("de", 5, 10)}
+    state, fs = rollup._fs("state")
+    assert fs.exists(state) and len(fs.listStatus(state)) <= 2  # superseded totals go
+    # written, but not marked: as if the driver had died before the marker
+    tokencounts.inserts(counted).write.parquet(rollup._state(6))
+    again = tokencounts.Rollup(spark, rollup.path)
+    assert {(r.lang, r.n_docs) for r in again.totals().collect()} == {("en", 5), ("de", 5)}
+    assert again.commit("day/5", tokencounts.deletes(counted)) and not again.commit("day/5", tokencounts.deletes(counted))
+    assert {(r.lang, r.n_docs, r.n_tokens) for r in again.totals().collect()} == {("en", 4, 20), ("de", 4, 8)}
+
+
 def test_revision_moves_between_groups(spark):
     old = spark.createDataFrame([("s", "en", "v1", 5, 9)], "source string, lang string, tokenizer_version string, n_tokens long, n_bytes long")
     rollup = tokencounts.Rollup(spark)

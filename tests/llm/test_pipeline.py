@@ -14,7 +14,7 @@ def test_stages_keep_and_drop_what_they_say(spark, tmp_path):
     rows += [(200 + i, rows[i][1]) for i in range(10)]
     rows += [(300 + i, text(20) + " " + items[i % 5][1] + " " + text(20)) for i in range(10)]
     rows += [(400, text(30) + " token = abcdef0123456789abcdef012345"), (500, "12345 !!!"), (501, None), (502, ""), (3, rows[3][1])]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, "y", "z") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, of long, blob string, language string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = docs

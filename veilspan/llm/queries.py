@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, html_extract, langid, neardup, packing, secrets, shards, tokencounts, urlfilter
+from .common import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +24,22 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts; sent again, the batch changes nothing."""
+    """Totals after three batches, each sent twice: all documents come in; those labelled toxic go; those labelled of low
+    quality move to a source of their own, their white space revised to single blanks."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    docs = docs.join(marks.withColumnRenamed("doc_id", "m_id"), F.col("doc_id") == F.col("m_id"), "left").drop("m_id")
+    toxic, low = F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("quality") == 0, F.lit(False))
+    before = materialise(tokencounts.counted(docs, keep=[toxic.alias("toxic"), low.alias("low")]), "counted")
+    revised = docs.filter(low & ~toxic).withColumn("text", F.regexp_replace("text", r"\s+", " ")).withColumn("source", F.concat(F.lit("low:"), "source"))
+    batches = {
+        "load": tokencounts.inserts(before),
+        "takedown": tokencounts.deletes(before.filter("toxic")),
+        "revision": tokencounts.revisions(before.filter("low and not toxic"), materialise(tokencounts.counted(revised), "counted")),
+    }
     rollup = tokencounts.Rollup(spark)
-    delta = tokencounts.inserts(tokencounts.counted(_table(spark, sf_dir, "documents")))
-    rollup.commit("load", delta)
-    rollup.commit("load", delta)
+    for name in (*batches, *batches):
+        rollup.commit(name, batches[name])
     return rollup.totals()
 
 
@@ -114,5 +126,15 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(text, '')) AS blob FROM documents d LEFT JOIN each e ON e.doc_id = d.doc_id"""
 
 
+#: The checksum byte by byte from its table; then running sums in the order of doc_id, checksum and size.
+OP8_SQL = f"""WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size FROM documents),
+v AS (SELECT doc_id, size, list_concat([4294967295::UBIGINT], list_transform(range(size - 1), lambda k: CAST((strpos('0123456789ABCDEF', h[2 * k + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * k + 2]) - 1 AS UBIGINT))) AS v FROM b),
+s AS (SELECT doc_id, size, CAST(xor(list_reduce(v, lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295) AS BIGINT) AS text_crc32 FROM v, tab),
+r AS (SELECT *, CAST(sum(size) OVER o - size AS BIGINT) AS start_byte, row_number() OVER o AS "row", sum(size) OVER () AS whole FROM s WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, CAST(least({shards.SHARDS - 1}, ((2 * start_byte + size) * {shards.SHARDS}) // (2 * whole)) AS INTEGER) AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST("row" - min("row") OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, start_byte FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_near_dedup": OP7_SQL, "op10_secret_scans": _op10_sql()}
+    return {"op7_minhash_near_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op10_secret_scans": _op10_sql()}

@@ -1,17 +1,21 @@
 """Delta-maintained token counts.
 
-Totals by source, language and tokenizer version are sums of committed delta batches. A batch is a table of signed
-changes: an insert adds a document's counts, a delete takes them away, a revision takes the old ones away and adds
-the new ones (under another source, language or tokenizer version if those changed). Batches are named; a batch is
-written whole, under its name, before its marker, so that a commit that is repeated after a crash, or sent twice,
-changes nothing.
+Totals by source, language and tokenizer version are a maintained table. A batch is a table of signed changes: an insert
+adds a document's counts, a delete takes them away, a revision takes the old ones away and adds the new ones (under another
+source, language or tokenizer version if those changed). A commit sums the batch by group, adds it to the totals of
+the commit before, and writes the sum as the next numbered state; the marker that names the batch comes last and makes that
+state the current one. So reading totals reads one small state, whatever the number of batches, and a commit
+that is repeated after a crash, or sent twice, changes nothing. One writer commits at a time.
 
 Defined cases: null sources and languages are groups of their own; a null text has no tokens; repeated rows count as
-often as they stand there; an empty batch is a batch; groups whose documents are all gone leave the totals.
+often as they stand there; an empty batch is a batch; groups whose documents are all gone leave the totals; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote_plus, unquote_plus
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +40,13 @@ def counter(path: str | None = None):
     return count
 
 
-def counted(docs: DataFrame, version: str = TOKENIZER_VERSION, path: str | None = None) -> DataFrame:
-    """doc_id, source, lang, tokenizer_version, n_tokens and n_bytes of each document."""
+def counted(docs: DataFrame, version: str = TOKENIZER_VERSION, path: str | None = None, keep: list[Column] | None = None) -> DataFrame:
+    """doc_id, source, lang, tokenizer_version, n_tokens and n_bytes of each document, and the columns to ``keep``."""
     text_batches(docs.sparkSession)
     text = F.col("text")
     return docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("tokenizer_version"),
-        counter(path)(text).alias("n_tokens"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+        counter(path)(text).alias("n_tokens"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), *(keep or []),
     )
 
 
@@ -69,7 +73,7 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder of delta batches."""
+    """Totals in a folder: ``delta`` has each batch's sums, ``state`` the totals after it, ``done`` the markers."""
 
     SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_bytes long"
 
@@ -80,21 +84,43 @@ class Rollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def batches(self) -> list[str]:
+    def _state(self, number: int) -> str:
+        return f"{self.path}/state/{number:09d}"
+
+    def _done(self) -> list[tuple[int, str]]:
         p, fs = self._fs("done")
-        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+        names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+        return [(int(n[:9]), unquote_plus(n[10:])) for n in names]
+
+    def batches(self) -> list[str]:
+        return [name for _, name in self._done()]
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
-        """Add a batch; False, without reading the delta, if a batch of that name is committed already. Deltas are
-        summed before they are written: a batch holds one row for each group it touches."""
-        marker, fs = self._fs(f"done/{batch}")
-        if fs.exists(marker):
+        """Add a batch; False, without reading the delta, if a batch of that name is committed already."""
+        done = self._done()
+        if any(name == batch for _, name in done):
             return False
-        delta.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).write.mode("overwrite").parquet(f"{self.path}/delta/{batch}")
-        fs.create(marker, True).close()
+        number = done[-1][0] + 1 if done else 1
+        name = f"{number:09d}-{quote_plus(batch)}"
+        _summed(delta).write.mode("overwrite").parquet(f"{self.path}/delta/{name}")
+        change = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/delta/{name}")
+        _alive(_summed(self.totals().unionByName(change))).write.mode("overwrite").parquet(self._state(number))
+        marker, fs = self._fs(f"done/{name}")
+        fs.create(marker, False).close()
+        old, fs = self._fs(f"state/{number - 2:09d}")
+        fs.delete(old, True)  # the state before the last stays, for who is reading it
         return True
 
-    def totals(self, upto: Column | None = None) -> DataFrame:
-        paths = [f"{self.path}/delta/{b}" for b in self.batches()]
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS]).filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+    def totals(self) -> DataFrame:
+        done = self._done()
+        if not done:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self._state(done[-1][0]))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
+
+
+def _alive(totals: DataFrame) -> DataFrame:
+    return totals.filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
