@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .phones import scan_phones
-from .spans import spans
+from .spans import bind, spans
 
 SPANS = "array<struct<start:int,end:int>>"
 TYPED = "array<struct<start:int,end:int,kind:string>>"
@@ -19,15 +19,22 @@ def find_emails(text: Column) -> Column:
 
 def normalize_email(raw: Column) -> Column:
     """The canonical address, or null. An address with blanks in it needs a well-known top-level domain."""
+
+    def decide(v: Column) -> Column:
+        parts, labels, tld = v["parts"], v["labels"], v["tld"]
+        bad = (
+            (F.size(parts) != 2) | (F.get(parts, F.lit(0)) == "") | (F.size(labels) < 2) | F.exists(labels, lambda x: x == "")
+            | ~tld.rlike(r"^\p{L}{2,24}\z") | tld.isin(fixed.FILE_EXTENSIONS) | (raw.rlike(r"\s") & ~tld.isin(fixed.KNOWN_TLDS))
+        )
+        return F.when(F.coalesce(bad, F.lit(True)), F.lit(None).cast("string")).otherwise(v["s"])
+
+    def taken_apart(s: Column) -> Column:
+        parts = F.split(s, "@", -1)
+        labels = F.split(F.get(parts, F.lit(1)), r"\.", -1)
+        return F.struct(s.alias("s"), parts.alias("parts"), labels.alias("labels"), F.lower(F.element_at(labels, -1)).alias("tld"))
+
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, fixed.AT_TOKEN, "@"), fixed.DOT_TOKEN, "."), r"[ \t]+", "")
-    parts = F.split(s, "@", -1)
-    labels = F.split(F.get(parts, F.lit(1)), r"\.", -1)
-    tld = F.lower(F.element_at(labels, -1))
-    bad = (
-        (F.size(parts) != 2) | (F.get(parts, F.lit(0)) == "") | (F.size(labels) < 2) | F.exists(labels, lambda x: x == "")
-        | ~tld.rlike(r"^\p{L}{2,24}\z") | tld.isin(fixed.FILE_EXTENSIONS) | (raw.rlike(r"\s") & ~tld.isin(fixed.KNOWN_TLDS))
-    )
-    return F.when(F.coalesce(bad, F.lit(True)), F.lit(None).cast("string")).otherwise(s)
+    return bind(s, lambda x: bind(taken_apart(x), decide))
 
 
 def disjoint(found: Column) -> Column:
@@ -50,10 +57,12 @@ def scan_emails(text: Column) -> Column:
 
 def scan_residual(text: Column) -> Column:
     """Every span that the second pass wants gone, typed and ordered. Addresses win over numbers."""
-    emails = scan_emails(text)
-    phones = F.filter(scan_phones(text), lambda p: ~F.exists(emails, lambda e: (e["start"] < p["end"]) & (p["start"] < e["end"])))
 
     def typed(found: Column, kind: str) -> Column:
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    return F.array_sort(F.concat(typed(emails, "email"), typed(phones, "phone")))
+    def both(emails: Column) -> Column:
+        free = F.filter(scan_phones(text), lambda p: ~F.exists(emails, lambda e: (e["start"] < p["end"]) & (p["start"] < e["end"])))
+        return F.array_sort(F.concat(typed(emails, "email"), typed(free, "phone")))
+
+    return bind(scan_emails(text), both)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .spans import left_context, line_prefix, ordered_distinct, spans
+from .spans import bind, left_context, lines_with, ordered_distinct, spans
 
 
 def digits(s: Column) -> Column:
@@ -47,17 +47,20 @@ def is_phone_context(before: Column) -> Column:
 
 def is_phone(candidate: Column, before: Column) -> Column:
     """First pass: rejected unless something says that it is a number. Rejections come before acceptances."""
-    c = trimmed(candidate)
-    groups = digit_groups(c)
-    return (
-        F.when(~valid_length(c), False)
-        .when(_years(groups) >= 2, False)
-        .when(_is_identifier(groups), False)
-        .when(is_id_context(before), False)
-        .when(c.startswith("+"), True)
-        .when(is_phone_context(before), True)
-        .otherwise(c.rlike(_full(fixed.PHONE_SHAPES)))
-    )
+
+    def decide(v: Column) -> Column:
+        c, groups = v["c"], v["groups"]
+        return (
+            F.when(~valid_length(c), False)
+            .when(_years(groups) >= 2, False)
+            .when(_is_identifier(groups), False)
+            .when(is_id_context(v["before"]), False)
+            .when(c.startswith("+"), True)
+            .when(is_phone_context(v["before"]), True)
+            .otherwise(c.rlike(_full(fixed.PHONE_SHAPES)))
+        )
+
+    return bind(trimmed(candidate), lambda c: bind(F.struct(c.alias("c"), digit_groups(c).alias("groups"), before.alias("before")), decide))
 
 
 def find_phones(text: Column) -> Column:
@@ -78,52 +81,69 @@ def is_mobile(d: Column) -> Column:
     return F.coalesce(national_number(d).substr(1, 1).isin(list(fixed.MOBILE_FIRST)), F.lit(False))
 
 
-def residual_ok(candidate: Column, before: Column, after: Column) -> Column:
-    """Second pass, for a window of a run: ``before`` is the line up to it, ``after`` the next character."""
-    d, groups, c = digits(candidate), digit_groups(candidate), F.trim(candidate)
-    n = F.length(d)
-    label = is_phone_context(before)
-    nsn = national_number(d)
-    decimal = candidate.contains(".") & ~F.forall(groups, lambda g: F.length(g).isin(3, 4))
-    round_sum = (F.size(groups) == 1) & (n == fixed.NATIONAL_DIGITS) & d.endswith("000000") & ~label
-    abroad = c.startswith("+") | c.startswith("(+") | d.startswith("00")
-    with_code = nsn.isNotNull() & (n > fixed.NATIONAL_DIGITS) & (nsn.substr(1, 1) != "0") & (F.size(groups) >= 2)
-    return (
-        F.when(~n.between(fixed.MIN_PHONE_DIGITS, fixed.MAX_PHONE_DIGITS), False)
-        .when(_years(groups) >= 2, False)
-        .when(_is_identifier(groups), False)
-        .when(decimal, False)
-        .when(c.rlike(fixed.DATE_RUN), False)
-        .when(round_sum, False)
-        .when(after.rlike(r"^\p{L}"), False)
-        .when(is_id_context(before), False)
-        .when(before.rlike(r"\p{L}\z") & ~label, False)
-        .when(is_mobile(d), True)
-        .when(abroad, n >= 8)
-        .when(label, True)
-        .when(with_code, True)
-        .otherwise(c.rlike(_full(fixed.RESIDUAL_SHAPES)))
-    )
+def residual_ok(candidate: Column, label: Column, letter: Column, after: Column) -> Column:
+    """Second pass, for a window of a run: whether a phone label, or any letter, is flush against it, and the next character."""
+
+    def decide(v: Column) -> Column:
+        d, groups, c, n, nsn = v["d"], v["groups"], v["c"], F.length(v["d"]), v["nsn"]
+        decimal = c.contains(".") & ~F.forall(groups, lambda g: F.length(g).isin(3, 4))
+        round_sum = (F.size(groups) == 1) & (n == fixed.NATIONAL_DIGITS) & d.endswith("000000") & ~label
+        abroad = c.startswith("+") | c.startswith("(+") | d.startswith("00")
+        with_code = nsn.isNotNull() & (n > fixed.NATIONAL_DIGITS) & (nsn.substr(1, 1) != "0") & (F.size(groups) >= 2)
+        return (
+            F.when(_years(groups) >= 2, False)
+            .when(_is_identifier(groups), False)
+            .when(decimal, False)
+            .when(c.rlike(fixed.DATE_RUN), False)
+            .when(round_sum, False)
+            .when(after.rlike(r"^\p{L}"), False)
+            .when(letter & ~label, False)
+            .when(F.coalesce(nsn.substr(1, 1).isin(list(fixed.MOBILE_FIRST)), F.lit(False)), True)
+            .when(abroad, n >= 8)
+            .when(label, True)
+            .when(with_code, True)
+            .otherwise(c.rlike(_full(fixed.RESIDUAL_SHAPES)))
+        )
+
+    def look(v: Column) -> Column:
+        whole = F.struct(v["d"].alias("d"), national_number(v["d"]).alias("nsn"), digit_groups(v["c"]).alias("groups"), v["c"].alias("c"))
+        return F.when(F.length(v["d"]).between(fixed.MIN_PHONE_DIGITS, fixed.MAX_PHONE_DIGITS), bind(whole, decide)).otherwise(False)
+
+    return bind(F.struct(digits(candidate).alias("d"), F.trim(candidate).alias("c")), look)
 
 
 def windows_of(run: Column, before: Column, after: Column) -> Column:
     """Every window of a run's digit groups with at most 15 digits: array<struct<i,j,start,end,ok>>, ordered by first
-    group and, within it, longest first. The first window starts with the run, so that a sign belongs to it."""
-    groups = spans(run, r"\p{Nd}+")
-    last = F.size(groups) - 1
-
-    def window(i: Column, back: Column) -> Column:
-        j = F.least(last, i + fixed.MAX_PHONE_DIGITS - 1) - back
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(groups, i)["start"])
-        end = F.get(groups, j)["end"]
-        value = run.substr(start + 1, end - start)
-        follows = F.concat(run, F.coalesce(after, F.lit(""))).substr(end + 1, F.lit(1))
-        ok = (F.length(digits(value)) <= fixed.MAX_PHONE_DIGITS) & residual_ok(value, F.concat(before, run.substr(F.lit(1), start)), follows)
-        return F.struct(i.alias("i"), j.alias("j"), start.alias("start"), end.alias("end"), ok.alias("ok"))
-
-    return F.flatten(
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(F.lit(0), F.least(last - i, F.lit(fixed.MAX_PHONE_DIGITS - 1))), lambda b: window(i, b)))
+    group and, within it, longest first. The first window starts with the run, so that a sign belongs to it; only that one
+    can have a label or a letter flush against it, since the others follow a digit."""
+    most = fixed.MAX_PHONE_DIGITS
+
+    def of(r: Column) -> Column:
+        g = r["groups"]
+        last = F.size(g) - 1
+
+        def first(i: Column) -> Column:
+            top = F.least(last, i + most - 1)
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(g, i)["start"])
+            end = F.get(g, top)["end"]
+            return bind(F.struct(i.alias("i"), top.alias("top"), start.alias("start"), r["run"].substr(start + 1, end - start + 1).alias("tail")), from_there)
+
+        def from_there(f: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), f["top"] - f["i"]), lambda back: window(f, f["top"] - back))
+
+        def window(f: Column, j: Column) -> Column:
+            end, flush = F.get(g, j)["end"], f["i"] == 0
+            size = end - f["start"]
+            ok = residual_ok(f["tail"].substr(F.lit(1), size), flush & r["label"], flush & r["letter"], f["tail"].substr(size + 1, F.lit(1)))
+            return F.struct(f["i"].alias("i"), j.alias("j"), f["start"].alias("start"), end.alias("end"), (ok & ~(flush & r["vetoed"])).alias("ok"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), first))
+
+    known = F.struct(
+        spans(run, r"\p{Nd}+").alias("groups"), F.concat(run, F.coalesce(after, F.lit(""))).alias("run"), is_phone_context(before).alias("label"),
+        before.rlike(r"\p{L}\z").alias("letter"), is_id_context(before).alias("vetoed"),
     )
+    return bind(known, of)
 
 
 def choose_windows(windows: Column) -> Column:
@@ -139,15 +159,28 @@ def choose_windows(windows: Column) -> Column:
     return F.aggregate(good, zero, step, lambda a: a["out"])
 
 
+def runs_of(text: Column) -> Column:
+    """Runs that may hold numbers: array<struct<start,run,before,after>>. No run crosses a line; an id label before one rules
+    out all of it."""
+
+    def of_line(held: Column) -> Column:
+        line = held["line"]
+        found = F.filter(spans(line, fixed.RESIDUAL_RUN), lambda r: F.length(digits(r["value"])) >= fixed.MIN_PHONE_DIGITS)
+        known = F.transform(found, lambda r: F.struct(
+            (held["at"] + r["start"]).alias("start"), r["value"].alias("run"), line.substr(F.lit(1), r["start"]).alias("before"), line.substr(r["end"] + 1, F.lit(1)).alias("after")))
+        return F.filter(known, lambda r: ~is_id_context(r["before"]))
+
+    return F.flatten(F.transform(lines_with(text, fixed.RESIDUAL_RUN), of_line))
+
+
 def scan_phones(text: Column) -> Column:
-    """Second-pass spans: array<struct<start,end>>, ordered and disjoint. An id label before a run rules out all of it."""
-    runs = F.filter(spans(text, fixed.RESIDUAL_RUN), lambda r: (F.length(digits(r["value"])) >= fixed.MIN_PHONE_DIGITS) & ~is_id_context(line_prefix(text, r["start"])))
+    """Second-pass spans: array<struct<start,end>>, ordered and disjoint."""
 
     def of(r: Column) -> Column:
-        chosen = choose_windows(windows_of(r["value"], line_prefix(text, r["start"]), text.substr(r["end"] + 1, F.lit(1))))
+        chosen = choose_windows(windows_of(r["run"], r["before"], r["after"]))
         return F.transform(chosen, lambda w: F.struct((w["start"] + r["start"]).alias("start"), (w["end"] + r["start"]).alias("end")))
 
-    return F.flatten(F.transform(runs, of))
+    return F.flatten(F.transform(runs_of(text), of))
 
 
 def classify(s: Column) -> Column:

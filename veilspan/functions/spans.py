@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,25 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda a: a["out"])).otherwise(none)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once. A column that a lambda reads is otherwise copied into it, and worked out
+    again wherever, and as often as, the lambda reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def lines_with(text: Column, pattern: str) -> Column:
+    """array<struct<at:int,line:string>> of the lines that hold a match, with their places. What is sought within a line
+    then costs that line's length, not the text's."""
+    none = F.array().cast("array<struct<at:int,line:string>>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        held = F.when(line.rlike(pattern), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), line.alias("line"))))).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), held.alias("out"))
+
+    return F.when(text.rlike(pattern), F.aggregate(F.split(text, "\n", -1), zero, step, lambda a: a["out"])).otherwise(none)
+
+
 def line_prefix(text: Column, start: Column) -> Column:
     """What stands before ``start`` on its line."""
     return F.substring_index(text.substr(F.lit(1), start), "\n", -1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import emails, fixed, phones
-from ..functions.spans import blank_out, line_prefix, ordered_distinct, spans
+from ..functions.spans import bind, blank_out, lines_with, ordered_distinct, spans
 
 #: A text without two digits close by, an @ or a spelled-out at holds nothing for either pass.
 GATE = r"(?i)@|[(\[]\s*at\s*[)\]]|\p{Nd}[\p{Nd} \t()+.\-–—]{3,}\p{Nd}"
@@ -30,24 +30,37 @@ def residual_spans(docs: DataFrame) -> DataFrame:
 
 
 def residual_windows(docs: DataFrame) -> DataFrame:
-    text = F.col("text")
-    runs = F.filter(spans(text, fixed.RESIDUAL_RUN), lambda r: (F.length(phones.digits(r["value"])) >= fixed.MIN_PHONE_DIGITS) & ~phones.is_id_context(line_prefix(text, r["start"])))
-
     def of(r: Column) -> Column:
-        found = phones.windows_of(r["value"], line_prefix(text, r["start"]), text.substr(r["end"] + 1, F.lit(1)))
+        found = phones.windows_of(r["run"], r["before"], r["after"])
         return F.transform(found, lambda w: F.struct(r["start"].alias("base"), w["i"].alias("i"), w["j"].alias("j"), (r["start"] + w["start"]).alias("start"), (r["start"] + w["end"]).alias("end"), w["ok"].alias("ok")))
 
-    return docs.select("doc_id", F.explode(F.flatten(F.transform(runs, of))).alias("w")).select("doc_id", "w.*")
+    return docs.select("doc_id", F.explode(F.flatten(F.transform(phones.runs_of(F.col("text")), of))).alias("w")).select("doc_id", "w.*")
 
 
 def _located(text: Column, values: Column) -> Column:
     """Places of known values: numbers in any layout that has the same digits, addresses in any case."""
-    runs = spans(text, fixed.RESIDUAL_RUN)
-    numbers = F.transform(F.filter(values, lambda v: phones.classify(v) == "phone"), phones.digits)
-    found = F.filter(runs, lambda r: F.exists(numbers, lambda d: phones.equivalent(phones.digits(r["value"]), d)) & ~phones.is_id_context(line_prefix(text, r["start"])))
-    mails = F.transform(F.filter(values, lambda v: phones.classify(v) == "email"), lambda v: F.lower(v))
-    known = F.filter(spans(text, fixed.EMAIL), lambda e: F.array_contains(mails, F.lower(e["value"])))
-    return F.transform(F.concat(found, known), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    kinds = F.transform(values, lambda v: F.struct(v.alias("v"), phones.classify(v).alias("kind")))
+
+    def of(known: Column) -> Column:
+        def numbers(held: Column) -> Column:
+            line = held["line"]
+            runs = F.filter(spans(line, fixed.RESIDUAL_RUN), lambda r: bind(phones.digits(r["value"]), lambda d: F.exists(known["numbers"], lambda n: phones.equivalent(d, n))))
+            return F.transform(
+                F.filter(runs, lambda r: ~phones.is_id_context(line.substr(F.lit(1), r["start"]))),
+                lambda r: F.struct((held["at"] + r["start"]).alias("start"), (held["at"] + r["end"]).alias("end")),
+            )
+
+        mails = F.filter(spans(text, fixed.EMAIL), lambda e: F.array_contains(known["mails"], F.lower(e["value"])))
+        found = F.when(F.size(known["numbers"]) > 0, F.flatten(F.transform(lines_with(text, fixed.RESIDUAL_RUN), numbers))).otherwise(F.array().cast(emails.SPANS))
+        places = F.when(F.size(known["mails"]) > 0, F.transform(mails, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(F.array().cast(emails.SPANS))
+        return F.concat(found, places)
+
+    def split(kinds: Column) -> Column:
+        numbers = F.transform(F.filter(kinds, lambda k: k["kind"] == "phone"), lambda k: phones.digits(k["v"]))
+        mails = F.transform(F.filter(kinds, lambda k: k["kind"] == "email"), lambda k: F.lower(k["v"]))
+        return bind(F.struct(numbers.alias("numbers"), mails.alias("mails")), of)
+
+    return bind(kinds, split)
 
 
 def mask(docs: DataFrame, known: str | None = None, mark: str = "") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,35 +167,62 @@ def r08_scan_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(phones.scan_phones(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end")
 
 
-@query()
+#: The loose shape without look-around, which RE2 lacks: its greedy ends stand where the look-around wants them.
+_LOOSE = quoted(re.sub(r"\(\?<?![^)]*\)", "", fixed.LOOSE_EMAIL))
+_TLD = "lower(string_split(string_split(s, '@')[2], '.')[-1])"
+
+
+def address_sql(value: str = "value") -> str:
+    """The canonical address in a value, or null, of rows with ``s``: the value with its signs spelled."""
+    return f"""CASE WHEN len(string_split(s, '@')) <> 2 OR string_split(s, '@')[1] = '' OR len(string_split(string_split(s, '@')[2], '.')) < 2
+  OR list_contains(string_split(string_split(s, '@')[2], '.'), '') OR NOT regexp_matches({_TLD}, '^\\p{{L}}{{2,24}}\\z')
+  OR {_TLD} IN ({", ".join(quoted(x) for x in fixed.FILE_EXTENSIONS)}) OR (regexp_matches({value}, '\\s') AND {_TLD} NOT IN ({", ".join(quoted(x) for x in fixed.KNOWN_TLDS)})) THEN NULL ELSE s END"""
+
+
+def spelled_sql(value: str = "value") -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({value}, {quoted(fixed.AT_TOKEN)}, '@', 'g'), {quoted(fixed.DOT_TOKEN)}, '.', 'g'), '[ \\t]+', '', 'g')"
+
+
+#: Addresses of both shapes that are some, then greedily those that overlap no earlier one: e_walk(doc_id, start, stop).
+EMAIL_WALK = f"""{matches_sql('es', fixed.EMAIL)}, {matches_sql('el', fixed.LOOSE_EMAIL).replace(quoted(fixed.LOOSE_EMAIL), _LOOSE)},
+e_all AS (SELECT DISTINCT doc_id, start, CAST(start + length(value) AS INTEGER) AS stop, value FROM (SELECT doc_id, start, value FROM es UNION ALL SELECT doc_id, start, value FROM el)),
+e_good AS (SELECT doc_id, start, stop FROM (SELECT *, {spelled_sql()} AS s FROM e_all) WHERE {address_sql()} IS NOT NULL),
+e_walk AS (SELECT doc_id, min(struct_pack(a := start, b := stop)) AS v FROM e_good GROUP BY doc_id
+  UNION ALL SELECT w.doc_id, (SELECT min(struct_pack(a := n.start, b := n.stop)) FROM e_good n WHERE n.doc_id = w.doc_id AND n.start >= w.v.b) FROM e_walk w WHERE w.v IS NOT NULL),
+mails AS (SELECT doc_id, v.a AS start, v.b AS stop FROM e_walk WHERE v IS NOT NULL)"""
+
+PHONE_WALK = f"""{WINDOWS}, best AS (SELECT doc_id, base, i, max(j) AS j FROM windows WHERE ok GROUP BY doc_id, base, i),
+walk AS (SELECT doc_id, base, min(i) AS i FROM best GROUP BY doc_id, base
+  UNION ALL SELECT w.doc_id, w.base, (SELECT min(n.i) FROM best n WHERE n.doc_id = w.doc_id AND n.base = w.base AND n.i > b.j)
+  FROM walk w JOIN best b ON b.doc_id = w.doc_id AND b.base = w.base AND b.i = w.i WHERE w.i IS NOT NULL),
+numbers AS (SELECT v.doc_id, v.start, v."end" AS stop FROM walk w JOIN best b ON b.doc_id = w.doc_id AND b.base = w.base AND b.i = w.i
+JOIN windows v ON v.doc_id = b.doc_id AND v.base = b.base AND v.i = b.i AND v.j = b.j)"""
+
+RESIDUAL = f"""{EMAIL_WALK}, {PHONE_WALK}, residual AS (SELECT doc_id, start, stop, 'email' AS kind FROM mails UNION ALL
+SELECT doc_id, start, stop, 'phone' FROM numbers n WHERE NOT EXISTS (SELECT 1 FROM mails m WHERE m.doc_id = n.doc_id AND m.start < n.stop AND n.start < m.stop))"""
+
+
+@query(f"WITH {matches_sql('m', fixed.LOOSE_EMAIL).replace(quoted(fixed.LOOSE_EMAIL), _LOOSE)} SELECT doc_id, start, CAST(start + length(value) AS INTEGER) AS \"end\", value FROM m")
 def r09_loose_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").filter(F.col("text").rlike(r"(?i)@|[(\[]\s*at"))
     rows = docs.select("doc_id", F.explode(spans(F.col("text"), fixed.LOOSE_EMAIL)).alias("s"))
     return rows.select("doc_id", "s.start", "s.end", "s.value")
 
 
-_TLD = "lower(string_split(string_split(s, '@')[2], '.')[-1])"
-
-
-@query(
-    f"""WITH {matches_sql('m', fixed.EMAIL)}, n AS (SELECT doc_id, ord, value, regexp_replace(regexp_replace(regexp_replace(value, {quoted(fixed.AT_TOKEN)}, '@', 'g'), {quoted(fixed.DOT_TOKEN)}, '.', 'g'), '[ \\t]+', '', 'g') AS s FROM m)
-SELECT doc_id, ord, value, CASE WHEN len(string_split(s, '@')) <> 2 OR string_split(s, '@')[1] = '' OR len(string_split(string_split(s, '@')[2], '.')) < 2
-  OR list_contains(string_split(string_split(s, '@')[2], '.'), '') OR NOT regexp_matches({_TLD}, '^\\p{{L}}{{2,24}}\\z')
-  OR {_TLD} IN ({", ".join(quoted(x) for x in fixed.FILE_EXTENSIONS)}) OR (regexp_matches(value, '\\s') AND {_TLD} NOT IN ({", ".join(quoted(x) for x in fixed.KNOWN_TLDS)})) THEN NULL ELSE s END AS address FROM n"""
-)
+@query(f"WITH {matches_sql('m', fixed.EMAIL)}, n AS (SELECT doc_id, ord, value, {spelled_sql()} AS s FROM m) SELECT doc_id, ord, value, {address_sql()} AS address FROM n")
 def r10_normalize_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").filter(F.col("text").contains("@"))
     rows = docs.select("doc_id", F.posexplode(emails.find_emails(F.col("text"))).alias("ord", "value"))
     return rows.select("doc_id", "ord", "value", emails.normalize_email(F.col("value")).alias("address"))
 
 
-@query()
+@query(f'WITH RECURSIVE {EMAIL_WALK} SELECT doc_id, start, stop AS "end" FROM mails')
 def r11_scan_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", F.explode(emails.scan_emails(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end")
 
 
-@query()
+@query(f'WITH RECURSIVE {RESIDUAL} SELECT doc_id, start, stop AS "end", kind FROM residual')
 def r12_scan_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.residual_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -222,20 +251,48 @@ def r15_contact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.filter(detect.has_contact_scheme(F.col("uri")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE hrefs AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS uri FROM pages),
+documents AS (SELECT row_number() OVER (ORDER BY uri) AS doc_id, uri AS text FROM (SELECT DISTINCT uri FROM hrefs)), {RESIDUAL}
+SELECT h.page_id, h.uri FROM hrefs h JOIN documents d ON d.text = h.uri
+WHERE NOT regexp_matches(lower(trim(h.uri)), '^(?:mailto|tel|callto|sms|fax|whatsapp):') AND NOT EXISTS (SELECT 1 FROM residual r WHERE r.doc_id = d.doc_id)"""
+)
 def r15_scrubbed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "html")
     links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("uri"))
     return links.filter(~detect.is_contact_link(F.col("uri")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RESIDUAL} SELECT doc_id, source AS author, lang AS subject, CASE WHEN EXISTS (SELECT 1 FROM residual r WHERE r.doc_id = d.doc_id) THEN '' ELSE text END AS title FROM documents d"""
+)
 def r16_scrubbed_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
     return detect.scrub_metadata(docs.select("doc_id", F.col("source").alias("author"), F.col("lang").alias("subject"), F.col("text").alias("title")), ["title", "author", "subject"])
 
 
-@query()
+#: Equivalent digit strings, as in ``functions.phones.equivalent``.
+EQUIVALENT_SQL = """length(p.short) >= 7 AND length(p.long) <= 15 AND length(p.long) - length(p.short) <= 3 AND ends_with(p.long, p.short)
+  AND (length(p.long) = length(p.short) OR starts_with(p.long, '0') OR length(p.short) >= 10)"""
+
+#: Places of what the first pass finds, joined with the second pass's spans; what overlaps is one region.
+REGIONS = f"""{ONE_PASS}, {RESIDUAL},
+known AS (SELECT DISTINCT doc_id, {_digits('value')} AS d FROM phones WHERE ok),
+pairs AS (SELECT u.doc_id, u.base AS start, u.base + length(u.run) AS stop, CASE WHEN length(u.d) > length(k.d) THEN k.d ELSE u.d END AS short, CASE WHEN length(u.d) > length(k.d) THEN u.d ELSE k.d END AS long
+  FROM (SELECT *, {_digits('run')} AS d FROM runs WHERE NOT regexp_matches(pre, {quoted(fixed.ID_LABEL)})) u JOIN known k ON k.doc_id = u.doc_id),
+located AS (SELECT p.doc_id, p.start, p.stop FROM pairs p WHERE {EQUIVALENT_SQL} UNION SELECT doc_id, start, start + length(value) FROM es),
+every AS (SELECT doc_id, start, stop FROM located UNION SELECT doc_id, start, stop FROM residual),
+marked AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS first FROM every),
+islands AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY start, stop) AS region FROM marked),
+regions AS (SELECT doc_id, region, min(start) AS start, max(stop) AS stop FROM islands GROUP BY doc_id, region)"""
+
+
+@query(
+    f"""WITH RECURSIVE {REGIONS}, kept AS (SELECT r.doc_id, r.start, r.stop, substr(d.text, CAST(coalesce(lag(r.stop) OVER o, 0) AS BIGINT) + 1, CAST(r.start - coalesce(lag(r.stop) OVER o, 0) AS BIGINT)) AS part
+  FROM regions r JOIN documents d ON d.doc_id = r.doc_id WINDOW o AS (PARTITION BY r.doc_id ORDER BY r.start)),
+cut AS (SELECT doc_id, string_agg(part, '' ORDER BY start) AS head, max(stop) AS stop, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN c.n IS NULL THEN d.text ELSE c.head || substr(d.text, CAST(c.stop AS BIGINT) + 1) END AS masked, CAST(coalesce(c.n, 0) AS INTEGER) AS regions FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id"""
+)
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document with what either pass finds cut out, and how many regions went."""
     return detect.mask(table(spark, sf_dir, "documents", "doc_id", "text"))
