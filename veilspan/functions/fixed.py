@@ -25,20 +25,17 @@ PHONE_SHAPES = (
 )
 
 # --- labels flush against a number, at the end of its left context
-PHONE_LABELS = "phone mobile mob cell cellular tel telephone contact whatsapp ph mo m t c".split()
 PHONE_LABEL = (
-    r"(?i)(?:^|[^A-Za-z])(?:" + "|".join(PHONE_LABELS) + r")"
+    r"(?i)(?:^|[^A-Za-z])(?:phone|mobile|mob|cell|cellular|tel|telephone|contact|whatsapp|ph|mo|m|t|c)"
     r"[ \t]*(?:no\.?|num(?:ber)?|#)?[ \t]*[:\-|–—]?[ \t]*\z"
 )
-ID_LABELS = (
-    "id ids credential cert(?:ificate)? licen[cs]e roll reg(?:istration)? enrol(?:l)?ment seat batch badge"
-    " pan gst(?:in)? tin aadha?ar uidai passport visa ssn invoice order ref(?:erence)? txn transaction"
-    " iso iec ieee rfc ansi astm isbn issn doi orcid patent pin(?:code)? zip postal postcode"
-    " acc(?:ount|t)? ifsc swift iban routing employee emp staff student matric"
-    " score rank marks salary ctc package budget revenue ver(?:sion)? v build release sku part model serial code"
-).split()
 ID_LABEL = (
-    r"(?i)(?:^|[^A-Za-z])(?:" + "|".join(ID_LABELS) + r")"
+    r"(?i)(?:^|[^A-Za-z])"
+    r"(?:id|ids|credential|cert(?:ificate)?|licen[cs]e|roll|reg(?:istration)?|enrol(?:l)?ment|seat|batch|badge"
+    r"|pan|gst(?:in)?|tin|aadha?ar|uidai|passport|visa|ssn|invoice|order|ref(?:erence)?|txn|transaction|iso"
+    r"|iec|ieee|rfc|ansi|astm|isbn|issn|doi|orcid|patent|pin(?:code)?|zip|postal|postcode|acc(?:ount|t)?|ifsc|swift"
+    r"|iban|routing|employee|emp|staff|student|matric|score|rank|marks"
+    r"|salary|ctc|package|budget|revenue|ver(?:sion)?|v|build|release|sku|part|model|serial|code)"
     r"[ \t]*(?:no\.?|num(?:ber)?|code|id|#)?[ \t]*[:\-|–—]?[ \t]*\z"
 )
 
@@ -115,7 +112,16 @@ WINDOW_WORDS, WINDOW_SLACK = 6, 4
 OPEN_ROWS = 3
 
 # --- jobs
+TRANSIENT = (
+    "code: 502", "code: 503", "code: 504", "down for maintenance", "retry your request", "upstream request time",
+    "server is busy", "temporarily unavailable", "request_limit_exceeded",
+)
 TRANSIENT_NEVER = ("invalid_login", "invalid_grant")
+#: Kinds of failure that no retry mends, whatever they say.
+FINAL_KINDS = ("missing_file", "missing_credentials", "unknown_client")
+#: Parameters that may carry record ids have one of these in their name, and are none of the others.
+ID_PARAMETERS = ("id", "applicant", "record", "profile")
+NOT_ID_PARAMETERS = ("uname", "sfurl", "orgurl", "username", "user")
 LEASE_SECONDS, JOB_SECONDS, WIDTH = 900, 7 * 24 * 3600, 10
 FILE_RANK = ("pdf", "docx", "doc")
 MASKED_PREFIX = "masked_"

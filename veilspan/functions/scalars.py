@@ -107,16 +107,13 @@ def deep_link(host: Column, document: Column) -> Column:
 
 
 #: Parts of messages that mean "try again".
-TRANSIENT = (
-    "code: 502", "code: 503", "code: 504", "down for maintenance", "retry your request", "upstream request time",
-    "server is busy", "temporarily unavailable", "request_limit_exceeded",
-)
-
-
-def is_transient(message: Column) -> Column:
+def is_transient(message: Column, kind: Column | None = None) -> Column:
+    """Whether a failure may pass by itself. A ``kind`` that is final is never tried again."""
     low = F.lower(F.coalesce(message, F.lit("")))
     never = reduce(lambda a, b: a | b, [low.contains(x) for x in fixed.TRANSIENT_NEVER])
-    return ~never & reduce(lambda a, b: a | b, [low.contains(x) for x in TRANSIENT])
+    if kind is not None:
+        never = never | F.coalesce(kind.isin(list(fixed.FINAL_KINDS)), F.lit(False))
+    return ~never & reduce(lambda a, b: a | b, [low.contains(x) for x in fixed.TRANSIENT])
 
 
 def backoff_seconds(attempt: Column) -> Column:
@@ -205,6 +202,17 @@ def harvest_ids(v: Column) -> Column:
     return F.array_join(F.array_distinct(parts), ";")
 
 
+def ids_of_parameters(parameters: Column) -> Column:
+    """Record ids in the values of those parameters (array<struct<name,value>>) whose names say that they hold some, each
+    once, joined by semicolons."""
+
+    def holds(p: Column) -> Column:
+        name = F.lower(p["name"])
+        return ~name.isin(list(fixed.NOT_ID_PARAMETERS)) & reduce(lambda a, b: a | b, [name.contains(x) for x in fixed.ID_PARAMETERS])
+
+    return harvest_ids(F.array_join(F.transform(F.filter(parameters, holds), lambda p: F.coalesce(p["value"], F.lit(""))), " "))
+
+
 def image_kind(body: Column) -> Column:
     """``png`` or ``jpeg`` by the first bytes, else null."""
     return F.when(F.substring(body, 1, 8) == F.lit(bytearray(b"\x89PNG\r\n\x1a\n")), "png").when(F.substring(body, 1, 3) == F.lit(bytearray(b"\xff\xd8\xff")), "jpeg")

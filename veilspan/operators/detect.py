@@ -141,20 +141,15 @@ def residual_boxes(words: DataFrame) -> DataFrame:
     return rows.select("conv_id", "block", "line_no", "s.kind", *edges)
 
 
-#: A word of letters between white space, punctuation around it aside.
-WORD = r"(?<!\S)\p{P}*([\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*)\p{P}*(?!\S)"
-
-
 def score(docs: DataFrame) -> DataFrame:
-    """By ``grp`` and ``passes`` (``both``, or the ``first`` alone): decisions, leaks (a detected value that is still there),
-    over-masked words (a distinct word of letters, anywhere in the text, that is gone), accuracy, recall and specificity."""
-    must_mask = F.when(F.col("text").rlike(GATE), detected(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    survive = F.coalesce(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(1))), F.array().cast("array<string>"))
-    rows = _with_spans(docs.withColumn("must_mask", must_mask), phones.expand(F.col("must_mask"))).withColumn("must_survive", survive)
+    """By ``grp`` and ``passes`` (``both``, or the ``first`` alone), against the given truth of each text: leaks (a value of
+    ``must_mask`` that is still there), over-masked values (one of ``must_survive`` that is gone), accuracy, recall and
+    specificity."""
+    rows = _with_spans(docs, phones.expand(detected(F.col("text"))))
     kinds = [F.struct(F.lit(name).alias("passes"), F.size(c).alias("regions"), _cut(F.col("text"), F.col(c)).alias("masked")) for name, c in (("both", "_spans"), ("first", "_located"))]
     rows = rows.select("grp", "must_mask", "must_survive", F.inline(F.array(*kinds)))
     leaks = F.size(F.filter("must_mask", lambda v: F.col("masked").contains(v)))
-    over = F.when(F.col("regions") > 0, F.size(F.filter("must_survive", lambda v: ~F.col("masked").contains(v)))).otherwise(0)
+    over = F.size(F.filter("must_survive", lambda v: ~F.col("masked").contains(v)))
     sums = rows.groupBy("grp", "passes").agg(F.sum(F.size("must_mask")).alias("positives"), F.sum(F.size("must_survive")).alias("negatives"), F.sum(leaks).alias("leaks"), F.sum(over).alias("over_masked"))
     wrong = F.col("leaks") + F.col("over_masked")
     total = F.col("positives") + F.col("negatives")

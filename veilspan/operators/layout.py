@@ -7,6 +7,7 @@ a page's words are bounded, so no group grows with the corpus.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,19 +130,35 @@ def clip_to_line(rects: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def bridge(rects: DataFrame, words: DataFrame) -> DataFrame:
-    """Neighbours on a line become one where only punctuation stands between them, 24 points apart at most. A chain is
-    found by a running sum of its breaks."""
-    line = Window.partitionBy(*PAGE, F.round("y0", 1)).orderBy("x0", "rect")
-    near = rects.withColumn("p_x1", F.lag("x1").over(line)).withColumn("p_y0", F.lag("y0").over(line)).withColumn("p_y1", F.lag("y1").over(line))
-    gap = F.col("x0") - F.col("p_x1")
-    close = F.coalesce((F.col("p_y1") > F.col("y0")) & (F.col("y1") > F.col("p_y0")) & (gap >= 0) & (gap <= fixed.BRIDGE_MAX_GAP), F.lit(False))
-    near = near.withColumn("close", close)
-    real = named(words.filter(F.col("word").rlike(r"[\p{L}\p{N}]")), "w_", PAGE)
-    between = (F.col("w_x0") >= F.col("p_x1") - 0.5) & (F.col("w_x1") <= F.col("x0") + 0.5) & (F.col("w_y1") > F.least("y0", "p_y0")) & (F.col("w_y0") < F.greatest("y1", "p_y1"))
-    blocked = near.filter("close").join(real, PAGE).filter(between).select(*PAGE, "rect").distinct().withColumn("blocked", F.lit(True))
-    chained = near.join(blocked, [*PAGE, "rect"], "left").withColumn("new", F.when(F.col("close") & F.col("blocked").isNull(), 0).otherwise(1))
-    chained = chained.withColumn("chain", F.sum("new").over(line)).withColumn("_y", F.round("y0", 1))
-    return chained.groupBy(*PAGE, "_y", "chain").agg(F.min("rect").alias("rect"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).drop("_y", "chain")
+    """Neighbours that share height become one where only punctuation stands between them, 24 points apart at most, again and
+    again until no two do: a merged rect is as high as both, so it may meet its own neighbour. A page's rects and words come
+    together once, and are a bounded group."""
+
+    def of_page(page: pd.DataFrame, on: pd.DataFrame) -> pd.DataFrame:
+        boxes = on[["x0", "y0", "x1", "y1"]].to_numpy()
+        kept: list[tuple] = []
+
+        def joins(a: tuple, b: tuple) -> bool:
+            if a[4] <= b[2] or b[4] <= a[2] or not 0 <= b[1] - a[3] <= fixed.BRIDGE_MAX_GAP:
+                return False
+            x0, y0, x1, y1 = boxes.T
+            return not ((x0 >= a[3] - 0.5) & (x1 <= b[1] + 0.5) & (y1 > min(a[2], b[2])) & (y0 < max(a[4], b[4]))).any()
+
+        order = page.assign(_y=page["y0"].round(1)).sort_values(["_y", "x0", "rect"])
+        for r in order[["rect", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+            kept.append(tuple(r))
+            while len(kept) > 1 and joins(kept[-2], kept[-1]):
+                b, a = kept.pop(), kept.pop()
+                kept.append((min(a[0], b[0]), a[1], min(a[2], b[2]), b[3], max(a[4], b[4])))
+        out = pd.DataFrame(kept, columns=["rect", "x0", "y0", "x1", "y1"])
+        for k in reversed(PAGE):
+            out.insert(0, k, page[k].iloc[0] if len(page) else None)
+        return out
+
+    columns = [*PAGE, "rect", "x0", "y0", "x1", "y1"]
+    solid = words.filter(F.col("word").rlike(r"[\p{L}\p{N}]")).select(*PAGE, "x0", "y0", "x1", "y1")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rects.select(*columns).schema.fields)
+    return rects.select(*columns).groupBy(*PAGE).cogroup(solid.groupBy(*PAGE)).applyInPandas(of_page, schema)
 
 
 def is_label(word: Column) -> Column:

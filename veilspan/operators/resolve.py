@@ -69,11 +69,12 @@ def merged_registry(env: DataFrame, db: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, at: Column) -> DataFrame:
-    """Rows of (key, values, created_at, updated_at) with the changes over them: created_at stays, updated_at is ``at``."""
+    """Rows of (key, values, created_at, updated_at) with the changes over them: created_at stays, updated_at is ``at``. Of
+    several changes for one key the greatest by its values counts, so that the result never depends on the order of rows."""
     fresh = changes.withColumn("created_at", at).withColumn("updated_at", at).withColumn("_new", F.lit(1))
     both = current.withColumn("_new", F.lit(0)).unionByName(fresh)
     w = Window.partitionBy(key)
-    kept = both.withColumn("_first", F.min("created_at").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("_new"))))
+    kept = both.withColumn("_first", F.min("created_at").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("_new"), *[F.desc(c) for c in changes.columns if c != key])))
     return kept.filter("_r = 1").withColumn("created_at", F.col("_first")).drop("_new", "_first", "_r")
 
 

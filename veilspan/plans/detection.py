@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import emails, fixed, phones
 from ..functions.spans import left_context, line_prefix, spans
 from ..operators import detect
-from ..sources.records import WORDS_SQL, words
+from ..sources.records import CARDS_SQL, WORDS_SQL, cards, words
 from ..sources.tables import table
 from .registry import Catalog, quoted
 
@@ -235,9 +236,12 @@ def r13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.lines(words(spark, sf_dir)).select("conv_id", "block", "line_no", "text", F.size("words").cast("long").alias("n_words"))
 
 
-@query()
+@query(
+    f"""WITH {CARDS_SQL} SELECT conv_id, CAST(0 AS INTEGER) AS block, CAST(0 AS INTEGER) AS line_no, 'phone' AS kind, CAST(5.0 * (length(l0) - 10) AS DOUBLE) AS x0, CAST(0 AS DOUBLE) AS y0, CAST(5.0 * length(l0) AS DOUBLE) AS x1, CAST(10 AS DOUBLE) AS y1 FROM cards
+UNION ALL SELECT conv_id, 0, 1, 'email', 60.0, 12.0, 5.0 * (length(l1) - 11), 22.0 FROM cards UNION ALL SELECT conv_id, 0, 3, 'email', 0.0, 36.0, 5.0 * length(l3), 46.0 FROM cards"""
+)
 def r14_span_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.residual_boxes(words(spark, sf_dir))
+    return detect.residual_boxes(cards(spark, sf_dir))
 
 
 @query(
@@ -298,8 +302,33 @@ def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.mask(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-@query()
+#: What is put under each document: (line, value that must go, value that must stay, whether the first pass finds it).
+#: D is a mobile number and U a name, both of the document's own.
+PLANTED = (
+    ("Mobile: D", "D", None, True),
+    ("write to U@example.com.", "U@example.com", None, True),
+    ("91 D", "D", None, False),
+    ("U (at) example (dot) com", "U (at) example (dot) com", None, False),
+    ("Order Number: D", None, "D", True),
+    ("from 2017 - 2021 here", None, "2017 - 2021", True),
+    ("+91-D", "D", None, True),
+    ("ISBN 978-3-16-148410-0", None, "978-3-16-148410-0", True),
+)
+
+
+@query(
+    f"""WITH d AS (SELECT coalesce(lang, '') AS grp, doc_id % {len(PLANTED)} AS k FROM documents), p AS (SELECT unnest(['both', 'first']) AS passes),
+n AS (SELECT grp, passes, count(*) FILTER (WHERE k IN ({", ".join(str(k) for k, x in enumerate(PLANTED) if x[1])})) AS positives, count(*) FILTER (WHERE k IN ({", ".join(str(k) for k, x in enumerate(PLANTED) if x[2])})) AS negatives,
+  count(*) FILTER (WHERE passes = 'first' AND k IN ({", ".join(str(k) for k, x in enumerate(PLANTED) if not x[3])})) AS leaks FROM d, p GROUP BY grp, passes)
+SELECT grp, passes, positives, negatives, leaks, CAST(0 AS BIGINT) AS over_masked, 1 - leaks / (positives + negatives) AS accuracy, CASE WHEN positives > 0 THEN 1 - leaks / positives END AS recall, CASE WHEN negatives > 0 THEN 1.0 END AS specificity FROM n"""
+)
 def a10_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks and over-masking by language: detected values must be gone, other words must survive."""
+    """Scores by language against a truth that is given: a line under each document holds a value that must go, or one that
+    must stay. With both passes nothing leaks; the first alone leaves what only the second can find."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return detect.score(docs.select("doc_id", "text", F.col("lang").alias("grp")))
+    number = F.concat(F.lit("98"), F.lpad(((F.col("doc_id") * 7 + 1234567) % 100000000).cast("string"), 8, "0"))
+    own = lambda t: F.lit(None).cast("string") if t is None else F.replace(F.replace(F.lit(t), F.lit("D"), number), F.lit("U"), F.concat(F.lit("u"), F.col("doc_id").cast("string")))
+    kind = F.pmod(F.col("doc_id"), F.lit(len(PLANTED)))
+    pick = lambda i: reduce(lambda e, k: F.when(kind == k, own(PLANTED[k][i])).otherwise(e), range(len(PLANTED)), F.lit(None).cast("string"))
+    planted = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("grp"), F.concat_ws("\n", "text", pick(0)).alias("text"), F.array_compact(F.array(pick(1))).alias("must_mask"), F.array_compact(F.array(pick(2))).alias("must_survive"))
+    return detect.score(planted)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
 from ..sources import sinks, template
 from ..sources.records import CONTACTS_SQL, ITEMS_SQL, contacts, items
 from ..sources.tables import table
 from ..streaming import jobs, requests
+from ..streaming.jobs import retried
 from .registry import Catalog
 
 CATALOG = Catalog()
@@ -21,7 +25,9 @@ query = CATALOG.query
 def _folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints/veilspan-jobs"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/veilspan-jobs"
     return f"{base.rstrip('/')}/jobs-{uuid.uuid4().hex}"
 
 
@@ -116,10 +122,37 @@ def f23_faded_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(F.hex(F.substring("rgba", 4, 1)) == "00").select("contact_id", "name")
 
 
-@query("SELECT s_suppkey, CAST(1.5 * 1 + 1.5 * 2 AS DOUBLE) AS waited FROM supplier WHERE s_suppkey < 5")
+@query(
+    """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 ELSE 2 END AS calls,
+  CASE s_suppkey % 5 WHEN 1 THEN 1.5 WHEN 2 THEN 4.5 ELSE 0.0 END AS waited, s_suppkey % 5 NOT IN (2, 3) AS ok FROM supplier"""
+)
 def q07_f16_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waits = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda n: scalars.backoff_seconds(n).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return table(spark, sf_dir, "supplier", "s_suppkey").filter("s_suppkey < 5").select("s_suppkey", waits.alias("waited"))
+    """A call for every supplier, by its number: right at once, busy once, busy for good, refused, or with a session that
+    had expired."""
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key in batch["s_suppkey"].tolist():
+                calls, waits = [], []
+
+                def once(fresh: bool, kind=key % 5, calls=calls) -> None:
+                    calls.append(fresh)
+                    if (kind == 1 and len(calls) == 1) or kind == 2:
+                        raise ValueError("Error code: 503")
+                    if kind == 3:
+                        raise ValueError("malformed id")
+                    if kind == 4 and not fresh:
+                        raise PermissionError("session")
+
+                try:
+                    retried(once, sleep=waits.append, transient=lambda e: "503" in str(e), expired=lambda e: isinstance(e, PermissionError))
+                    ok = True
+                except ValueError:
+                    ok = False
+                rows.append((key, len(calls), float(sum(waits)), ok))
+            yield pd.DataFrame(rows, columns=["s_suppkey", "calls", "waited", "ok"])
+
+    return table(spark, sf_dir, "supplier", "s_suppkey").mapInPandas(call, "s_suppkey long, calls int, waited double, ok boolean")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS idx, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'all' END AS watermark FROM events")

