@@ -7,6 +7,7 @@ a page's words are bounded, so no group grows with the corpus.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -282,23 +283,27 @@ def without_native(ocr: DataFrame, native: DataFrame) -> DataFrame:
 
 def merge_passes(ocr: DataFrame) -> DataFrame:
     """Words of all passes, in order: a later word goes in where it clashes with none, or is surer than all it clashes with,
-    which then go."""
-    fields = "pass:int,word_no:int,word:string,x0:double,y0:double,x1:double,y1:double,conf:double"
-    kind = f"array<struct<{fields}>>"
-    word = F.struct(*[F.col(f.split(":")[0]).cast(f.split(":")[1]).alias(f.split(":")[0]) for f in fields.split(",")])
-
-    def clash(v: Column, w: Column) -> Column:
-        a, b = ({k: s[k] for k in ("x0", "y0", "x1", "y1")} for s in (v, w))
-        small = F.least(area(**a), area(**b))
-        return common(a, b) / F.when(small > 0, small).otherwise(1.0) > 0.5
-
-    def step(kept: Column, w: Column) -> Column:
-        met = F.filter(kept, lambda v: clash(v, w))
-        others = F.concat(F.filter(kept, lambda v: ~clash(v, w)), F.array(w))
-        return F.when(F.size(met) == 0, F.concat(kept, F.array(w))).when(F.forall(met, lambda v: w["conf"] > v["conf"]), others).otherwise(kept)
-
-    pages = ocr.groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("words"))
-    return pages.select(*PAGE, F.explode(F.aggregate("words", F.array().cast(kind), step)).alias("w")).select(*PAGE, "w.*")
+    which then go. The order matters, so a page, a bounded group, is folded word by word, each against all kept at once."""
+    columns = ["pass", "word_no", "word", "x0", "y0", "x1", "y1", "conf"]
+    kinds = ["int", "int", "string", "double", "double", "double", "double", "double"]
+
+    def of_page(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(columns, kind="stable", ignore_index=True)
+        x0, y0, x1, y1 = page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float).T
+        size, conf = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0), page["conf"].to_numpy(dtype=float)
+        kept = np.zeros(len(page), dtype=bool)
+        for k in range(len(page)):
+            wide = np.maximum(np.minimum(x1[:k], x1[k]) - np.maximum(x0[:k], x0[k]), 0)
+            common = wide * np.maximum(np.minimum(y1[:k], y1[k]) - np.maximum(y0[:k], y0[k]), 0)
+            small = np.minimum(size[:k], size[k])
+            met = np.flatnonzero(kept[:k] & (common / np.where(small > 0, small, 1.0) > 0.5))
+            if (conf[k] > conf[met]).all():
+                kept[met] = False
+                kept[k] = True
+        return page[kept]
+
+    rows = ocr.select(*PAGE, *[F.col(c).cast(kind).alias(c) for c, kind in zip(columns, kinds, strict=True)])
+    return rows.groupBy(*PAGE).applyInPandas(of_page, rows.schema)
 
 
 def redacted_words(words: DataFrame, rects: DataFrame) -> DataFrame:

@@ -103,7 +103,10 @@ def s22_ocr_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("p_partkey"), "word", "x0", "x1", "conf")
 
 
-@query()
+@query(
+    """SELECT p_partkey AS contact_id, 'Summary' || chr(10) || p_type || ' with ' || CAST(p_size AS VARCHAR) || CASE WHEN p_size = 1 THEN ' year' ELSE ' years' END || ' of experience, currently working at ' || p_brand || '. Core skills include ' || p_name || '.'
+  || chr(10) || chr(10) || 'Skills' || chr(10) || p_name || chr(10) || chr(10) || 'Other skills' || chr(10) || p_type || chr(10) || chr(10) || 'Details' || chr(10) || 'Date of birth: 07 June 2001 | Languages: en' AS document FROM part"""
+)
 def s23_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return template.render(p.select(F.col("p_partkey").alias("contact_id"), F.col("p_type").alias("designation"), F.col("p_brand").alias("company"), F.col("p_size").cast("string").alias("experience"),

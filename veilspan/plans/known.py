@@ -9,7 +9,7 @@ from ..functions import fixed, phones, scalars
 from ..operators import detect, known
 from ..sources.records import CONTACTS_SQL, contacts, words_of_lines
 from ..sources.tables import table
-from .detection import _digits
+from .detection import EQUIVALENT_SQL, ONE_PASS, _digits
 from .registry import Catalog, quoted
 
 CATALOG = Catalog()
@@ -87,7 +87,24 @@ def _document_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return docs, words_of_lines(lines)
 
 
-@query()
+#: Lines of documents that may hold a contact detail, their words in a fixed pitch, and runs of words from each word on.
+_LINES = f"""l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE regexp_matches(text, {quoted(detect.GATE)})),
+w0 AS (SELECT doc_id, line_no, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS word_no FROM l0 WHERE regexp_matches(line, {quoted(detect.GATE)})),
+w1 AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY word_no) - length(word) - 1 AS pos FROM w0),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY word_no) AS k FROM w1 WHERE word <> ''),
+ws AS (SELECT doc_id, line_no, list(word ORDER BY k) AS held FROM w GROUP BY doc_id, line_no),
+seq AS (SELECT a.doc_id, a.line_no, a.word_no AS i, b.word_no AS j, a.word, b.k - a.k + 1 AS n, array_to_string(s.held[1:a.k - 1], ' ') AS before, array_to_string(s.held[a.k:b.k], '') AS run,
+  CAST(5.0 * a.pos AS DOUBLE) AS x0, CAST(12.0 * a.line_no AS DOUBLE) AS y0, CAST(5.0 * (b.pos + length(b.word)) AS DOUBLE) AS x1, CAST(12.0 * a.line_no + 10 AS DOUBLE) AS y1
+  FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.line_no = a.line_no AND b.k BETWEEN a.k AND a.k + 5 JOIN ws s ON s.doc_id = a.doc_id AND s.line_no = a.line_no)"""
+
+
+@query(
+    f"""WITH {ONE_PASS}, {_LINES}, targets AS (SELECT DISTINCT doc_id, {_digits('value')} AS t FROM phones WHERE ok),
+p AS (SELECT s.*, t.t, length(d.d) AS size, CASE WHEN length(d.d) > length(t.t) THEN t.t ELSE d.d END AS short, CASE WHEN length(d.d) > length(t.t) THEN d.d ELSE t.t END AS long
+  FROM seq s JOIN targets t ON t.doc_id = s.doc_id, LATERAL (SELECT {_digits('s.run')} AS d) d WHERE regexp_matches(s.word, '\\p{{Nd}}') AND NOT regexp_matches(s.before, {quoted(fixed.ID_LABEL)}) AND length(t.t) >= 7)
+SELECT doc_id AS conv_id, CAST(0 AS INTEGER) AS block, CAST(line_no AS INTEGER) AS line_no, '+' || t AS target, CAST(i AS INTEGER) AS i, CAST(min(j) AS INTEGER) AS j, min(x0) AS x0, min(y0) AS y0, min(x1) AS x1, min(y1) AS y1
+FROM p WHERE size <= length(t) + {fixed.WINDOW_SLACK} AND {EQUIVALENT_SQL} GROUP BY doc_id, line_no, t, i"""
+)
 def k07_place_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, words = _document_words(spark, sf_dir)
     targets = detect.detect(docs).filter("kind = 'phone'").select(F.col("doc_id").alias("conv_id"), F.concat(F.lit("+"), phones.digits(F.col("value"))).alias("target"))
@@ -137,7 +154,12 @@ def k11_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("n_nationkey", F.col("n_name").alias("a"), F.col("r_name").alias("b"), known.capped_distance(F.col("n_name"), F.col("r_name")).cast("long").alias("distance"))
 
 
-@query()
+@query(
+    f"""WITH {_LINES}, known AS (SELECT DISTINCT doc_id, 'x' || lower(unnest(regexp_extract_all(text, {quoted(fixed.EMAIL)}))) AS email FROM documents),
+p AS (SELECT s.*, k.email, r.joined FROM seq s JOIN known k ON k.doc_id = s.doc_id, LATERAL (SELECT regexp_replace(lower(s.run), '^[.,;:()<>\\[\\]]+|[.,;:()<>\\[\\]]+$', '', 'g') AS joined) r WHERE s.n <= 3),
+b AS (SELECT doc_id, line_no, email, min(struct_pack(i := i, j := j, x0 := x0, y0 := y0, x1 := x1, y1 := y1)) AS b FROM p WHERE joined <> email AND abs(length(joined) - length(email)) <= 2 AND levenshtein(joined, email) <= 2 GROUP BY doc_id, line_no, email)
+SELECT doc_id AS conv_id, CAST(0 AS INTEGER) AS block, CAST(line_no AS INTEGER) AS line_no, email, CAST(b.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, CAST(100 AS DOUBLE) AS conf FROM b"""
+)
 def k12_snap_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings a character off: the known addresses are the texts' own with one letter more."""
     docs, words = _document_words(spark, sf_dir)

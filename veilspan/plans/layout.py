@@ -199,7 +199,10 @@ def g14_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.redacted_words(words(spark, sf_dir), rects(spark, sf_dir)).select("conv_id", "block", "line_no", "word_no", "word")
 
 
-@query()
+@query(
+    f"""WITH {WORDS_SQL} SELECT conv_id, block, CAST(1 - word_no % 2 AS INTEGER) AS "pass", word_no, word, CASE WHEN word_no % 2 = 0 THEN x0 + 1 ELSE x0 END AS x0, y0, x1, y1,
+  CAST(CASE WHEN word_no % 2 = 0 THEN 80 ELSE 60 END AS DOUBLE) AS conf FROM words"""
+)
 def g15_merge_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir)
     one = w.withColumn("pass", F.lit(0)).withColumn("conf", F.lit(60.0))
