@@ -68,6 +68,7 @@ def test_rejection_by_distance():
     rows = [("en", *langid.trigrams(LANGS["en"])), ("en", *langid.trigrams(LANGS["en"][::-1])), ("de", *langid.trigrams(LANGS["de"]))]
     model = langid.fit_vectors(rows)
     assert not model.predict(LANGS["de"])[2] and model.predict("бвгджз клмнп")[2]
+    assert not model.predict(" ".join(LANGS["de"].split()[:2]))[2]  # a short text, however far from a whole one
     assert langid.fit_vectors([]).predict("text") == ("und", 0.0, True)
 
 

@@ -29,8 +29,9 @@ CENTROIDS = 4
 #: Most labelled texts that a fit reads, and most languages that it learns.
 SAMPLE, MOST_LANGUAGES = 4096, 512
 BLOCK = 1 << 20
-#: A text is rejected if its cosine is under this share of the least cosine of its language's training texts.
-REJECT_SHARE = 0.5
+#: A text is rejected if its cosine is under this share of the least cosine of its language's training texts. A text of few
+#: trigrams can't come as close to a centroid, so under ``ENOUGH`` of them the bound falls with the root of their number.
+REJECT_SHARE, ENOUGH = 0.5, 64
 UND = "und"
 
 _CODES = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
@@ -101,7 +102,7 @@ class Model:
         cosines = self.centroids[:, bins] @ self.weigh(bins, counts)
         k = int(np.argmax(cosines))  # the first of equals: centroids stand in the order of languages
         score = float(min(1.0, max(0.0, cosines[k])))
-        return self.langs[self.of[k]], score, score < REJECT_SHARE * float(self.least[self.of[k]])
+        return self.langs[self.of[k]], score, score < REJECT_SHARE * float(self.least[self.of[k]]) * min(1.0, len(bins) / ENOUGH) ** 0.5
 
 
 def fit_vectors(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = CENTROIDS) -> Model:
