@@ -103,8 +103,10 @@ def test_masking_and_scores(spark):
     assert out == {1: ("Call  or  today", 2), 2: ("nothing here", 0), 3: (None, 0), 4: ("alt ", 1)}
     known = docs.filter("doc_id = 2").withColumn("text", F.lit("tel (022) 23456789, JO@X.COM")).withColumn("k", F.array(F.lit("+912223456789"), F.lit("jo@x.com")))
     assert detect.mask(known, "k", "#").first().masked == "tel #, #"
-    score = detect.score(docs).first()
-    assert (score.leaks, score.over_masked, score.positives) == (0, 0, 2) and score.accuracy == 1.0
+    truth = {1: (["98123 45670", "a@x.com"], ["Call", "today"]), 2: ([], ["nothing here"]), 3: ([], []), 4: (["09812345670"], ["alt"])}
+    given = spark.createDataFrame([(*r, *truth[r.doc_id]) for r in docs.collect()], "doc_id long, text string, grp string, must_mask array<string>, must_survive array<string>")
+    score = detect.score(given).first()
+    assert (score.leaks, score.over_masked, score.positives, score.negatives) == (0, 0, 3, 4) and score.accuracy == 1.0
 
 
 def test_links_and_metadata(spark):
@@ -128,11 +130,15 @@ def test_scalars(spark):
 
 def test_score_counts_the_whole_text_and_each_pass(spark):
     many = " ".join(f"word{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(60))
-    docs = spark.createDataFrame([(1, f"{many} ñandú, été (zu)", "a"), (None, "mail jane@corp.io please", "b")], "doc_id long, text string, grp string")
+    schema = "doc_id long, text string, grp string, must_mask array<string>, must_survive array<string>"
+    docs = spark.createDataFrame([
+        (1, f"{many} ñandú, été (zu)", "a", [], [*many.split(), "ñandú", "été", "zu"]), (None, "mail jane@corp.io please", "b", ["jane@corp.io"], ["mail", "please"]),
+    ], schema)
     rows = {(r.grp, r.passes): r for r in detect.score(docs).collect()}
     assert set(rows) == {(g, p) for g in "ab" for p in ("both", "first")}
     assert rows["a", "both"].negatives == 63 and rows["a", "both"].over_masked == 0
     assert rows["b", "first"].positives == 1 and rows["b", "both"].leaks == 0 and rows["b", "both"].negatives == 2
-    lost = spark.createDataFrame([(1, f"{many} jane (at) corp (dot) com", "a")], "doc_id long, text string, grp string")
+    lost = spark.createDataFrame([(1, f"{many} jane (at) corp (dot) com", "a", ["jane (at) corp (dot) com"], [*many.split(), "jane"])], schema)
     rows = {r.passes: r for r in detect.score(lost).collect()}
-    assert rows["both"].over_masked > 0 and rows["first"].over_masked == 0
+    assert rows["both"].leaks == 0 and rows["first"].leaks == 1
+    assert rows["both"].over_masked == 1 and rows["first"].over_masked == 0
