@@ -1,10 +1,12 @@
+import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspan.llm import ann, html_extract, langid, shards, tokencounts, tokens, urlfilter
+from veilspan.llm import ann, common, html_extract, langid, queries, shards, tokencounts, tokens, urlfilter
 
 # ---------------------------------------------------------------- shards
 
@@ -252,6 +254,46 @@ def test_revision_moves_between_groups(spark):
     assert [(r.tokenizer_version, r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [("v2", 1, 4)]
 
 
+def shuffled(spark) -> int:
+    """Bytes written to shuffles since the session began."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("most, share", [(common.BROADCAST_BYTES, 0.1), (0, 1.3)])
+def test_texts_are_shuffled_once_at_most(spark, tmp_path, monkeypatch, most, share):
+    """Marks that are broadcast move no text; marks that are not move each text once, for its revision."""
+    r = random.Random(3)
+    docs = [(d, "a  b\n" + "".join(r.choices("0123456789abcdef", k=4000)), r.choice(["en", None]), r.choice(["x", "y", None])) for d in range(200)]
+    docs += [docs[7], docs[9], (None, "no  id", "en", "x"), (None, "no  id", "en", "x"), (300, None, "en", "x"), (301, "", "en", "x"), (302, "\t both ", "en", "x")]
+    labels = [(d, r.choice([0, 1, None]), r.choice([0, 1, None])) for d in range(0, 150, 2)] + [(7, 0, 0), (7, 1, 0), (9, 0, 0), (9, 0, 1), (None, 0, 1), (300, 0, 0), (301, 0, None), (302, 0, 1), (999, 0, 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    threshold, texts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), sum(p.stat().st_size for p in (tmp_path / "documents.parquet").glob("*.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        rows = queries.op3_token_counts(spark, str(tmp_path)).collect()
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert moved < share * texts
+    enc, want = tokens.encoder(tokens.default_path()), {}
+    toxic, low = {d for d, _, t in labels if t == 1 and d is not None}, {d for d, q, _ in labels if q == 0 and d is not None}
+    for doc, text, lang, source in docs:
+        if doc in toxic:
+            continue
+        if doc in low:
+            text, source = text and re.sub(r"\s+", " ", text), source and f"low:{source}"
+        sums = want.setdefault((source, lang), [0, 0, 0])
+        for k, n in enumerate((1, len(enc.ids(text)) // 4, len((text or "").encode()))):
+            sums[k] += n
+    assert {(x.source, x.lang): [x.n_docs, x.n_tokens, x.n_bytes] for x in rows} == want and len(rows) == len(want)
+
+
 # ---------------------------------------------------------------- nearest neighbours
 
 

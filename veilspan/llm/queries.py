@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, html_extract, langid, neardup, packing, secrets, shards, tokencounts, urlfilter
-from .common import materialise
+from .common import checked_small, materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality move to a source of their own, their white space revised to single blanks."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    docs = docs.join(marks.withColumnRenamed("doc_id", "m_id"), F.col("doc_id") == F.col("m_id"), "left").drop("m_id")
     toxic, low = F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("quality") == 0, F.lit(False))
-    before = materialise(tokencounts.counted(docs, keep=[toxic.alias("toxic"), low.alias("low")]), "counted")
-    revised = docs.filter(low & ~toxic).withColumn("text", F.regexp_replace("text", r"\s+", " ")).withColumn("source", F.concat(F.lit("low:"), "source"))
+    marks = materialise(marks.select(F.col("doc_id").alias("m_id"), toxic.alias("toxic"), low.alias("low")).filter("toxic or low"), "marks")
+    own = F.col("doc_id") == F.col("m_id")
+    # Counts meet the marks, not texts; of texts, only those to revise are looked for.
+    before = tokencounts.counted(docs).join(checked_small(marks), own, "left").drop("m_id").fillna(False, ["toxic", "low"])
+    before = materialise(before, "counted")
+    revised = docs.join(checked_small(marks.filter("low and not toxic").select("m_id")), own, "left_semi")
+    revised = revised.withColumn("text", F.regexp_replace("text", r"\s+", " ")).withColumn("source", F.concat(F.lit("low:"), "source"))
     batches = {
         "load": tokencounts.inserts(before),
         "takedown": tokencounts.deletes(before.filter("toxic")),
