@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import decontam, langid, neardup, packing, secrets
-from veilspan.llm.common import checked_small, hand_back, materialise, unused
+from veilspan.llm.common import checked_small, hand_back, materialise, release_heaps, unused
 
 #: No SQL form: tokenizer ids, k-means centroids and signatures are not SQL.
 ORACLE_SQL = None
@@ -30,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group stays; of rows that share a doc_id, one (the least by all columns).
     Rows without a doc_id, and documents without words, are in no group and stay."""
+    release_heaps(spark)
     own, key = unused("id", *docs.columns), F.col("doc_id").cast("long")
     found = materialise(neardup.near_duplicates(docs), "dedup")
     drop = materialise(found.filter("not kept").select(F.col("doc_id").alias(own)).distinct(), "drop")
@@ -47,6 +48,7 @@ def _one_each(docs: DataFrame) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go; null and empty texts hold none. A row's key is its text's digest, because
     many rows may have no doc_id."""
+    release_heaps(spark)
     own = unused("of", *docs.columns)
     keyed = docs.select(secrets.blob_of(F.col("text")).alias("doc_id"), "text")
     found = decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -57,6 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; each secret found in its text is replaced by a mark, and n_chars follows. A null text
     stays null; rows with one text are changed alike."""
+    release_heaps(spark)
     of, blob, held = (unused(n, *docs.columns) for n in ("of", "blob", "spans"))
     found = secrets.find(docs).filter(F.size("spans") > 0)
     spans = materialise(found.select(F.col("blob").alias(blob), F.col("spans").alias(held)).dropDuplicates([blob]), "secrets")
@@ -72,6 +75,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Every document's pieces of at most 4096 tokens, in sequences of as many: a null or empty text is its end id alone, a
     repeated row is packed as often as it occurs, only longer documents are cut."""
     hand_back()
+    release_heaps(spark)
     return packing.pack(docs)
 
 

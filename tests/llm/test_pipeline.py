@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from veilspan.llm import langid
 
 WORDS = [a + b for a in ("th", "an", "re", "in", "on", "er", "st") for b in ("the", "and", "ing", "est", "ion", "ent", "ara", "ise")]
@@ -56,3 +57,22 @@ def test_a_leak_without_doc_id_takes_no_other_document(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [x for x in rows if item not in (x[1] or "")]))
+
+
+def test_every_later_stage_first_releases_the_heaps(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    old = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    before = old()
+    corpus_pipeline.release_heaps(spark)
+    assert old() > before
+
+    class Released(Exception):
+        pass
+
+    def release(session):
+        raise Released
+
+    monkeypatch.setattr(corpus_pipeline, "release_heaps", release)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        with pytest.raises(Released):
+            stage(spark, None, "")

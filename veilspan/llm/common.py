@@ -46,6 +46,13 @@ def hand_back() -> None:
         return
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """``hand_back`` for the executors' JVMs: a heap keeps what an earlier step has touched until a full collection. One
+    short task for each executor runs it, tenths of a second; no result depends on it."""
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is listed too
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS gc").write.format("noop").mode("overwrite").save()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
