@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from veilspan.llm import common, neardup
+from veilspan.llm import common, graph, neardup
 from veilspan.llm.common import words_of
 
 
@@ -134,3 +134,33 @@ def test_tables_that_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     rows = corpus(3, 12, 9)
     assert got(spark, rows) == brute(rows)
+
+
+def test_few_edges_take_one_table_and_many_give_the_same(spark, monkeypatch):
+    r = random.Random(6)
+    edges = [(r.randint(0, 400) - 9, r.randint(0, 400) - 9) for _ in range(330)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, 5), (10**17 + 1, 10**17)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        if x != y:
+            a, b = find(x), find(y)
+            parent[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(edges, "a long, b long")
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: written.append(tag) or common.materialise(df, tag))
+    few = {x.node: x.component for x in graph.components(table).collect()}
+    assert written == ["components"] and few == {x: find(x) for x in parent}
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert {x.node: x.component for x in graph.components(table).collect()} == few and len(written) > 3
+    assert graph.components(table.limit(0)).count() == 0
+
+
+def test_round_by_round_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
+    rows = corpus(4, 12, 9)
+    assert got(spark, rows) == brute(rows)

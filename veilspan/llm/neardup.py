@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_small, hand_back, materialise, nullable, solid, text_batches, worker_cache, words_of
+from .common import checked_small, hand_back, materialise, nullable, release_heaps, solid, text_batches, worker_cache, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -192,10 +192,11 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b, m): pairs that the signatures don't rule out, whose components are those of all such pairs within a bucket.
 
     Each bucket's members meet a hub; those unlike it meet a second one. What lies in different clusters then, and shares
-    a bucket, is compared in blocks, see ``_between``."""
+    a bucket, is compared in blocks, see ``_between``. The parts are written tables; a pair may stand in several."""
     rows = nodes.select(F.explode("bands").alias("key"), "doc_id")
     near = members = None
     for turn in range(HUBS):
+        release_heaps(nodes.sparkSession)
         ordered = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("o"), F.col("doc_id"))
         buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(ordered).alias("hub")).filter("size > 1")
         # written first: the join then has shuffles of its own, which Spark can split at a hot key, or none
@@ -210,7 +211,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         rows = materialise(shared.join(found, ["a", "b"], "left_anti").select("key", "doc_id").distinct(), "unlike")
         if rows.isEmpty():
             break
-    return near.unionByName(_between(members, near, nodes)).distinct()
+    return near.unionByName(_between(members, near, nodes))
 
 
 def _between(members: DataFrame, near: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -224,6 +225,7 @@ def _between(members: DataFrame, near: DataFrame, nodes: DataFrame) -> DataFrame
     tagged = materialise(labelled.join(checked_small(mixed), "key").select("key", "doc_id", "c", "top"), "tagged")
     rows = tagged.join(nodes.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "c", "top", "sketch")
     least = least_matches()
+    release_heaps(nodes.sparkSession)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -279,6 +281,7 @@ def _across(clusters: DataFrame, labels: DataFrame, docs: DataFrame, limit: tupl
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text"))
     whole = texts.join(checked_small(tagged), F.col("_id") == F.col("doc_id")).groupBy("cluster", "doc_id", "c", "top").agg(F.min("text").alias("text"))
     whole = materialise(whole, "texts")
+    release_heaps(docs.sparkSession)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -329,18 +332,21 @@ def _linked(docs: DataFrame, feats: DataFrame) -> DataFrame:
     first = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "first")
     joined = named.join(first, "digest").filter("doc_id = rep").select("doc_id", "bands", "sketch")
     nodes = materialise(joined, "nodes")
-    near = materialise(candidates(nodes), "near")
+    near = candidates(nodes)
+    release_heaps(docs.sparkSession)
     # each node's most similar partner first, then the hubs' other pairs where they still join two components
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o"), "m"), F.struct(F.col("b").alias("n"), F.col("a").alias("o"), "m"))).alias("e"))
     best = ends.groupBy("e.n").agg(F.max(F.struct("e.m", "e.o")).alias("best"))
     best = materialise(best.select(F.least("n", "best.o").alias("a"), F.greatest("n", "best.o").alias("b")).distinct(), "best")
     links = materialise(verified(best, docs), "links")
     labels = components(links)
-    rest = materialise(_apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), "rest")
+    release_heaps(docs.sparkSession)
+    rest = materialise(_apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), labels).distinct(), "rest")
     more = materialise(verified(rest, docs), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
+    release_heaps(docs.sparkSession)
     more = materialise(_across(components(near), labels, docs), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
