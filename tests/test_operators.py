@@ -215,3 +215,15 @@ def test_metadata_is_scrubbed_over_the_whole_text(spark, tmp_path):
     rows = [(1, "en", "web", "word " * 60 + "write to ann@corp.com"), (2, "en", "web", "word " * 60), (3, "en", "web", None)]
     spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.title for r in r16_scrubbed_metadata(spark, str(tmp_path)).collect()} == {1: "", 2: "word " * 60, 3: None}
+
+
+def test_absorb_meets_its_page_once_and_joins_nothing(spark):
+    words = page(spark, "Phone number: 98123456", "Mail:a@b.co, (official)", "Email id:", "x@y.co none")
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 70.0, 0.0, 110.0, 10.0), (1, 0, 1, 1, 25.0, 12.0, 55.0, 22.0), (1, 0, 2, 3, 0.0, 36.0, 30.0, 46.0), (2, 0, 0, 0, 5.0, 0.0, 9.0, 10.0)], RECT)
+    marks = spark.createDataFrame([(1, 0, 101.0, 2.0, 113.0, 10.0), (1, 0, 300.0, 2.0, 313.0, 10.0), (2, 0, 0.0, 40.0, 9.0, 50.0)], "conv_id long, block int, x0 double, y0 double, x1 double, y1 double")
+    out = layout.absorb(boxes, words, marks)
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (1, 0, 0, 0.0, 0.0, 113.0, 10.0), (1, 0, 1, 0.0, 12.0, 115.0, 22.0), (1, 0, 2, 0.0, 24.0, 45.0, 46.0), (2, 0, 0, 5.0, 0.0, 9.0, 10.0),
+    ]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("HashAggregate(keys=[conv_id") <= 2

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.spans import bind
 
 PAGE = ["conv_id", "block"]
 WORD = "struct<y0:double,x0:double,word_no:int,line_no:int,word:string,x1:double,y1:double>"
@@ -170,14 +171,28 @@ def is_connector(word: Column) -> Column:
     return F.trim(word).rlike(fixed.LABEL_CONNECTOR)
 
 
+def glue(rect: Column | dict[str, Column], word: Column | dict[str, Column]) -> tuple[Column, Column]:
+    """Whether a rect starts inside a word, behind a label in it, and whether it ends inside one, before punctuation. The word
+    is marked()."""
+    starts = (word["x0"] < rect["x0"] - 0.5) & (rect["x0"] < word["x1"]) & word["stuck"]
+    ends = (word["x0"] + 0.5 < rect["x1"]) & (rect["x1"] < word["x1"] - 0.5) & (word["tail"] > 0)
+    per = (word["x1"] - word["x0"]) / F.greatest(word["size"], F.lit(1))
+    return starts, ends & (word["x1"] - rect["x1"] <= per * word["tail"] + 1.0)
+
+
+def marked(words: DataFrame) -> DataFrame:
+    """Words beside what their text says of them: worked out once, before words meet rects."""
+    text, word = F.trim("word"), F.col("word")
+    return words.withColumns({
+        "label": is_label(word), "link": is_connector(word), "prose": text.rlike(r"^\p{Ll}") & ~text.rlike(r"\p{Nd}"), "separates": text.rlike(r"[^\p{L}\p{N}]\z"),
+        "stuck": word.rlike(fixed.GLUED_LABEL), "tail": F.length(F.regexp_extract(word, fixed.GLUED_TAIL, 0)), "size": F.length(word),
+    })
+
+
 def glued(rects: DataFrame, words: DataFrame) -> DataFrame:
     """Rects that start or end inside a word, grown over a label before, or punctuation after, in that same word."""
-    met = rects.join(named(words, "w_", PAGE), PAGE, "left").filter("w_x0 is null or (w_y1 > y0 and w_y0 < y1)")
-    starts = (F.col("w_x0") < F.col("x0") - 0.5) & (F.col("x0") < F.col("w_x1")) & F.col("w_word").rlike(fixed.GLUED_LABEL)
-    tail = F.length(F.regexp_extract("w_word", fixed.GLUED_TAIL, 0))
-    ends = (F.col("w_x0") + 0.5 < F.col("x1")) & (F.col("x1") < F.col("w_x1") - 0.5) & (tail > 0)
-    per = (F.col("w_x1") - F.col("w_x0")) / F.greatest(F.length("w_word"), F.lit(1))
-    ends = ends & (F.col("w_x1") - F.col("x1") <= per * tail + 1.0)
+    met = rects.join(named(marked(words), "w_", PAGE), PAGE, "left").filter("w_x0 is null or (w_y1 > y0 and w_y0 < y1)")
+    starts, ends = glue(box(), {k: F.col(f"w_{k}") for k in ("x0", "x1", "stuck", "tail", "size")})
     keys = [*PAGE, "rect", "x0", "y0", "x1", "y1"]
     sums = met.groupBy(*keys).agg(F.min(F.when(starts, F.col("w_x0"))).alias("a"), F.max(F.when(ends, F.col("w_x1"))).alias("b"))
     grown = sums.select(*PAGE, "rect", F.coalesce("a", "x0").alias("x0"), "y0", F.coalesce("b", "x1").alias("x1"), "y1")
@@ -185,81 +200,141 @@ def glued(rects: DataFrame, words: DataFrame) -> DataFrame:
     return grown.unionByName(rest.select(*grown.columns))
 
 
-def walk_labels(rects: DataFrame, words: DataFrame, forward: bool) -> DataFrame:
-    """(page, rect, edge): how far a rect may grow along its line over labels: the six nearest words outward, within 200
-    points of each other, up to what is no label. Lower-case prose right there means no growth at all, and a label does
-    not end on a connector."""
-    met = named(words, "w_", PAGE).join(rects, PAGE).filter("w_y1 > y0 and w_y0 < y1 and w_line_no = line_no")
-    if forward:
-        met, far = met.filter("w_x0 >= x1 - 1.0"), F.col("w_x0")
-    else:
-        met, far = met.filter("w_x1 <= x0 + 1.0"), -F.col("w_x1")
-    word = F.struct(far.alias("far"), F.col("w_x0").alias("a"), F.col("w_x1").alias("b"), F.col("w_word").alias("word"))
-    near = met.groupBy(*PAGE, "rect", "x0", "x1").agg(F.slice(F.array_sort(F.collect_list(word)), 1, fixed.LABEL_MAX_WORDS).alias("near"))
-    start = (F.col("x1") if forward else F.col("x0")).cast("double")
+def outward(start: Column, near: Column, forward: bool) -> Column:
+    """How far a rect that ends at ``start`` may grow over the nearest words (far, a, b and what marked() says), or null."""
     nothing = F.lit(None).cast("double")
-    zero = F.struct(start.alias("edge"), F.lit(True).alias("on"), F.lit(False).alias("prose"), F.lit(False).alias("any"), nothing.alias("out"))
+    zero = F.struct(start.cast("double").alias("edge"), F.lit(True).alias("on"), F.lit(False).alias("prose"), F.lit(False).alias("any"), nothing.alias("out"))
 
     def step(s: Column, w: Column) -> Column:
         gap = w["a"] - s["edge"] if forward else s["edge"] - w["b"]
         outer = w["b"] if forward else w["a"]
-        text = F.trim(w["word"])
         ok = s["on"] & (gap <= fixed.LABEL_MAX_GAP)
-        label = ok & is_label(text)
-        link = ok & ~is_label(text) & s["any"] & is_connector(text)
-        prose = ok & ~label & ~link & text.rlike(r"^\p{Ll}") & ~text.rlike(r"\p{Nd}")
+        label = ok & w["label"]
+        link = ok & ~w["label"] & s["any"] & w["link"]
+        prose = ok & ~label & ~link & w["prose"]
         return F.struct(
             F.when(label | link, outer).otherwise(s["edge"]).alias("edge"), (label | link).alias("on"), (s["prose"] | prose).alias("prose"),
             (s["any"] | label).alias("any"), F.when(label, outer).otherwise(s["out"]).alias("out"),
         )
 
-    walked = near.select(*PAGE, "rect", F.aggregate("near", zero, step).alias("s"))
-    return walked.filter(~F.col("s.prose") & F.col("s.out").isNotNull()).select(*PAGE, "rect", F.col("s.out").alias("edge"))
+    return F.aggregate(F.slice(F.array_sort(near), 1, fixed.LABEL_MAX_WORDS), zero, step, lambda s: F.when(~s["prose"], s["out"]))
+
+
+def nearness(word: Column | dict[str, Column], forward: bool) -> Column:
+    far = word["x0"] if forward else -word["x1"]
+    return F.struct(far.alias("far"), word["x0"].alias("a"), word["x1"].alias("b"), word["word"].alias("word"), *[word[k].alias(k) for k in ("label", "link", "prose")])
+
+
+def walk_labels(rects: DataFrame, words: DataFrame, forward: bool) -> DataFrame:
+    """(page, rect, edge): how far a rect may grow along its line over labels: the six nearest words outward, within 200
+    points of each other, up to what is no label. Lower-case prose right there means no growth at all, and a label does
+    not end on a connector."""
+    met = named(marked(words), "w_", PAGE).join(rects, PAGE).filter("w_y1 > y0 and w_y0 < y1 and w_line_no = line_no")
+    met = met.filter("w_x0 >= x1 - 1.0" if forward else "w_x1 <= x0 + 1.0")
+    word = nearness({k: F.col(f"w_{k}") for k in ("x0", "x1", "word", "label", "link", "prose")}, forward)
+    near = met.groupBy(*PAGE, "rect", "x0", "x1").agg(F.collect_list(word).alias("near"))
+    return near.select(*PAGE, "rect", outward(F.col("x1" if forward else "x0"), F.col("near"), forward).alias("edge")).filter("edge is not null")
+
+
+def overhead(rect: Column | dict[str, Column], line: Column) -> Column:
+    """The rect's new x0, y0 and x1 from the line above it (array of a, b, top, word, label, separates), or null."""
+
+    def ends(run: Column) -> Column:
+        first, last = F.get(run, F.lit(0)), F.try_element_at(run, F.lit(-1))
+        fits = last["separates"] & (last["b"] >= rect["x0"] - 1.0) & (first["a"] <= rect["x1"] + 1.0)
+        grown = F.struct(F.least(rect["x0"], first["a"]).alias("x0"), F.array_min(F.transform(run, lambda w: w["top"])).alias("y0"), F.greatest(rect["x1"], last["b"]).alias("x1"))
+        return F.when((F.size(run) > 0) & fits, grown)
+
+    def leading(words: Column) -> Column:
+        bad = F.array_position(F.transform(words, lambda w: w["label"]), F.lit(False))
+        return F.when(bad > 0, F.slice(words, F.lit(1), (bad - 1).cast("int"))).otherwise(words)
+
+    return bind(F.array_sort(line), lambda words: bind(leading(words), ends))
+
+
+def stands_over(rect: Column | dict[str, Column], word: Column | dict[str, Column]) -> Column:
+    high = F.greatest(F.lit(1.0), rect["y1"] - rect["y0"])
+    return (word["y1"] <= rect["y0"] + 0.5) & (rect["y0"] - word["y1"] < high * fixed.LABEL_ABOVE_LINES)
+
+
+def of_line(word: Column | dict[str, Column]) -> Column:
+    return F.struct(word["x0"].alias("a"), word["x1"].alias("b"), word["y0"].alias("top"), *[word[k].alias(k) for k in ("word", "label", "separates")])
 
 
 def label_above(rects: DataFrame, words: DataFrame) -> DataFrame:
     """Rects grown over a label on the line above, in the same block: its leading run of label words ends in a separator
     and stands over the value."""
-    high = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
-    met = named(words, "w_", PAGE).join(rects, PAGE).filter((F.col("w_y1") <= F.col("y0") + 0.5) & (F.col("y0") - F.col("w_y1") < high * fixed.LABEL_ABOVE_LINES))
+    word = {k: F.col(f"w_{k}") for k in ("x0", "y0", "x1", "y1", "word", "label", "separates")}
+    met = named(marked(words), "w_", PAGE).join(rects, PAGE).filter(stands_over(box(), word))
     keys = [*PAGE, "rect", "x0", "y0", "x1", "y1"]
     met = met.withColumn("_base", F.max("w_y1").over(Window.partitionBy(*PAGE, "rect"))).filter("w_y1 > _base - 2.0")
-    word = F.struct(F.col("w_x0").alias("a"), F.col("w_x1").alias("b"), F.col("w_y0").alias("top"), F.col("w_word").alias("word"))
-    line = met.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("line"))
-    bad = F.array_position(F.transform("line", lambda w: is_label(w["word"])), F.lit(False))
-    run = line.withColumn("run", F.when(bad > 0, F.slice("line", F.lit(1), (bad - 1).cast("int"))).otherwise(F.col("line"))).filter(F.size("run") > 0)
-    last = F.try_element_at("run", F.lit(-1))
-    run = run.filter(F.trim(last["word"]).rlike(r"[^\p{L}\p{N}]\z") & (last["b"] >= F.col("x0") - 1.0) & (F.get("run", F.lit(0))["a"] <= F.col("x1") + 1.0))
-    return run.select(*PAGE, "rect", F.least("x0", F.get("run", F.lit(0))["a"]).alias("x0"), F.array_min("run.top").alias("y0"), F.greatest("x1", last["b"]).alias("x1"), "y1")
+    line = met.groupBy(*keys).agg(F.collect_list(of_line(word)).alias("line"))
+    grown = line.select(*PAGE, "rect", "y1", overhead(box(), F.col("line")).alias("g")).filter("g is not null")
+    return grown.select(*PAGE, "rect", "g.x0", "g.y0", "g.x1", "y1")
 
 
-def absorb_marks(rects: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rects widened over drawn marks that they cover to 70 % on the worse axis and that reach 24 points out at most."""
+def takes(rect: Column | dict[str, Column], mark: Column | dict[str, Column]) -> Column:
+    """Whether the rect covers a drawn mark to 70 % on the worse axis and it reaches 24 points out at most."""
     def part(m0: Column, m1: Column, r0: Column, r1: Column) -> Column:
         thin = m1 - m0 <= 0.01
         return F.when(thin, F.when((r0 - 0.5 <= m0) & (m0 <= r1 + 0.5), 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(m1, r1) - F.greatest(m0, r0)) / (m1 - m0))
 
+    covered = F.least(part(mark["x0"], mark["x1"], rect["x0"], rect["x1"]), part(mark["y0"], mark["y1"], rect["y0"], rect["y1"])) >= fixed.MARK_COVERAGE
+    return covered & (mark["x0"] >= rect["x0"] - fixed.MARK_OVERHANG) & (mark["x1"] <= rect["x1"] + fixed.MARK_OVERHANG)
+
+
+def absorb_marks(rects: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rects widened over the marks that they take."""
     met = rects.join(named(marks, "m_", PAGE), PAGE, "left")
-    covered = F.least(part(F.col("m_x0"), F.col("m_x1"), F.col("x0"), F.col("x1")), part(F.col("m_y0"), F.col("m_y1"), F.col("y0"), F.col("y1"))) >= fixed.MARK_COVERAGE
-    take = covered & (F.col("m_x0") >= F.col("x0") - fixed.MARK_OVERHANG) & (F.col("m_x1") <= F.col("x1") + fixed.MARK_OVERHANG)
+    take = takes(box(), box("m_"))
     keys = [*PAGE, "rect", "x0", "y0", "x1", "y1"]
     sums = met.groupBy(*keys).agg(F.min(F.when(take, F.col("m_x0"))).alias("a"), F.max(F.when(take, F.col("m_x1"))).alias("b"))
     return sums.select(*PAGE, "rect", F.least("x0", F.coalesce("a", "x0")).alias("x0"), "y0", F.greatest("x1", F.coalesce("b", "x1")).alias("x1"), "y1")
 
 
 def absorb(rects: DataFrame, words: DataFrame, marks: DataFrame) -> DataFrame:
-    """A value's rect grown over what labels it: glued parts, labels on both sides, else a label above; then marks."""
-    lines = rects.select(*PAGE, "rect", "line_no")
-    grown = glued(rects, words).join(lines, [*PAGE, "rect"])
-    for forward in (False, True):
-        edges = walk_labels(grown, words, forward)
-        met = grown.join(edges, [*PAGE, "rect"], "left")
+    """A value's rect grown over what labels it: glued parts, labels on both sides, else a label above; then marks. A page's
+    rects, words and marks come together once, in one shuffle; all steps are folds inside the rect's row, so no step joins,
+    and nothing is broadcast."""
+    kinds = {"r": (rects, ["rect", "line_no", "x0", "y0", "x1", "y1"]), "w": (marked(words), None), "m": (marks, ["x0", "y0", "x1", "y1"])}
+    packed = {k: df.select(*PAGE, F.struct(*(names or [c for c in df.columns if c not in PAGE])).alias(k)) for k, (df, names) in kinds.items()}
+    both = packed["r"].unionByName(packed["w"], True).unionByName(packed["m"], True)
+    pages = both.groupBy(*PAGE).agg(*[F.collect_list(k).alias(k) for k in kinds])
+    rows = pages.select(*PAGE, F.explode("r").alias("r"), "w", "m")
+
+    def put(r: Column, **new: Column) -> Column:
+        return F.struct(*[new.get(k, r[k]).alias(k) for k in ("line_no", "x0", "y0", "x1", "y1")])
+
+    def beside(r: Column, w: Column) -> Column:
+        return (w["y1"] > r["y0"]) & (w["y0"] < r["y1"])
+
+    def stuck(r: Column) -> Column:
+        on = F.filter("w", lambda w: beside(r, w))
+        a = F.array_min(F.transform(on, lambda w: F.when(glue(r, w)[0], w["x0"])))
+        b = F.array_max(F.transform(on, lambda w: F.when(glue(r, w)[1], w["x1"])))
+        return put(r, x0=F.coalesce(a, r["x0"]), x1=F.coalesce(b, r["x1"]))
+
+    def walked(r: Column, forward: bool) -> Column:
         edge = "x1" if forward else "x0"
-        grown = met.withColumn(edge, F.coalesce("edge", edge)).drop("edge")
-    still = grown.join(rects.select(*PAGE, "rect", "x0", "x1"), [*PAGE, "rect", "x0", "x1"], "left_semi")
-    above = label_above(still, words)
-    rest = grown.join(above.select(*PAGE, "rect"), [*PAGE, "rect"], "left_anti")
-    return absorb_marks(rest.select(*above.columns).unionByName(above), marks)
+        out = lambda w: w["x0"] >= r["x1"] - 1.0 if forward else w["x1"] <= r["x0"] + 1.0
+        near = F.transform(F.filter("w", lambda w: beside(r, w) & (w["line_no"] == r["line_no"]) & out(w)), lambda w: nearness(w, forward))
+        return put(r, **{edge: F.coalesce(outward(r[edge], near, forward), r[edge])})
+
+    def topped(r: Column) -> Column:
+        over = F.filter("w", lambda w: stands_over(r, w))
+        line = bind(over, lambda ws: bind(F.array_max(F.transform(ws, lambda w: w["y1"])), lambda base: F.filter(ws, lambda w: w["y1"] > base - 2.0)))
+        still = (r["x0"] == F.col("r.x0")) & (r["x1"] == F.col("r.x1"))
+        grown = F.when(still, overhead(r, F.transform(line, of_line)))
+        return bind(grown, lambda g: put(r, x0=F.coalesce(g["x0"], r["x0"]), y0=F.coalesce(g["y0"], r["y0"]), x1=F.coalesce(g["x1"], r["x1"])))
+
+    def widened(r: Column) -> Column:
+        a, b = (agg(F.transform(F.filter("m", lambda m: takes(r, m)), lambda m: m[k])) for agg, k in ((F.array_min, "x0"), (F.array_max, "x1")))
+        return put(r, x0=F.least(r["x0"], F.coalesce(a, r["x0"])), x1=F.greatest(r["x1"], F.coalesce(b, r["x1"])))
+
+    grown = F.col("r")
+    for step in (stuck, lambda r: walked(r, False), lambda r: walked(r, True), topped, widened):
+        grown = bind(grown, step)
+    return rows.select(*PAGE, F.col("r.rect").alias("rect"), grown.alias("g")).select(*PAGE, "rect", "g.x0", "g.y0", "g.x1", "g.y1")
 
 
 def corner_images(images: DataFrame, words: DataFrame, width: float, height: float) -> DataFrame:
