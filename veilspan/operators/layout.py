@@ -7,15 +7,23 @@ a page's words are bounded, so no group grows with the corpus.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import fixed
 from ..functions.spans import bind
 
 PAGE = ["conv_id", "block"]
+#: Boxes that merge_passes compares at once.
+MERGE_CELLS = 1_000_000
 WORD = "struct<y0:double,x0:double,word_no:int,line_no:int,word:string,x1:double,y1:double>"
 
 
@@ -131,6 +139,52 @@ def clip_to_line(rects: DataFrame, words: DataFrame) -> DataFrame:
     return sums.select(*PAGE, "rect", "line_no", "x0", F.when(keep, F.col("y0")).otherwise(top).alias("y0"), "x1", F.when(keep, F.col("y1")).otherwise(bottom).alias("y1"))
 
 
+def by_page(rows: DataFrame, order: list[Column], of_page: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType) -> DataFrame:
+    """``of_page`` of each page's rows in the given order. Pages are small and many, so they don't come one call each:
+    sorted rows stream through, and every batch is cut where the page changes; its last page waits for the next batch."""
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def of_rows(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            cuts = [0, *new_pages(rows), rows.num_rows]
+            made = [of_page(rows.slice(a, b - a)) for a, b in pairwise(cuts)]
+            if made:
+                yield pa.concat_batches(made)
+
+        def new_pages(rows: pa.RecordBatch) -> list[int]:
+            changes = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
+            for k in PAGE:
+                column = rows.column(k)
+                a, b = column.slice(0, len(changes)), column.slice(1)
+                unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+                changes |= unlike | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+            return (np.flatnonzero(changes) + 1).tolist()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([waiting[-1].slice(waiting[-1].num_rows - 1), batch]) if waiting else batch
+            cuts = new_pages(rows)
+            if waiting and not cuts:
+                waiting.append(batch)
+                continue
+            held = 1 if waiting else 0  # the waiting page's last row stands before the batch
+            last = cuts[-1] - held if cuts else 0
+            whole = [*waiting, batch.slice(0, last)]
+            waiting = [batch.slice(last)]
+            if cuts:
+                yield from of_rows(pa.concat_batches(whole))
+        if waiting:
+            yield from of_rows(pa.concat_batches(waiting))
+
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(pages, schema)
+
+
+def numbers(rows: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [pc.cast(rows.column(n), pa.float64()).to_numpy(zero_copy_only=False) for n in names]
+
+
 def bridge(rects: DataFrame, words: DataFrame) -> DataFrame:
     """Neighbours that share height become one where only punctuation stands between them, 24 points apart at most, again and
     again until no two do: a merged rect is as high as both, so it may meet its own neighbour. A page's rects and words come
@@ -358,27 +412,40 @@ def without_native(ocr: DataFrame, native: DataFrame) -> DataFrame:
 
 def merge_passes(ocr: DataFrame) -> DataFrame:
     """Words of all passes, in order: a later word goes in where it clashes with none, or is surer than all it clashes with,
-    which then go. The order matters, so a page, a bounded group, is folded word by word, each against all kept at once."""
+    which then go. The order matters, so a page, a bounded group, is folded word by word; clashes are sought for as many words
+    at once as keep a block of boxes small."""
     columns = ["pass", "word_no", "word", "x0", "y0", "x1", "y1", "conf"]
     kinds = ["int", "int", "string", "double", "double", "double", "double", "double"]
 
-    def of_page(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(columns, kind="stable", ignore_index=True)
-        x0, y0, x1, y1 = page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float).T
-        size, conf = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0), page["conf"].to_numpy(dtype=float)
-        kept = np.zeros(len(page), dtype=bool)
-        for k in range(len(page)):
-            wide = np.maximum(np.minimum(x1[:k], x1[k]) - np.maximum(x0[:k], x0[k]), 0)
-            common = wide * np.maximum(np.minimum(y1[:k], y1[k]) - np.maximum(y0[:k], y0[k]), 0)
-            small = np.minimum(size[:k], size[k])
-            met = np.flatnonzero(kept[:k] & (common / np.where(small > 0, small, 1.0) > 0.5))
-            if (conf[k] > conf[met]).all():
-                kept[met] = False
-                kept[k] = True
-        return page[kept]
+    def of_page(page: pa.RecordBatch) -> pa.RecordBatch:
+        x0, y0, x1, y1, sure = numbers(page, "x0", "y0", "x1", "y1", "conf")
+        size, conf = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0), sure.tolist()
+        n = page.num_rows
+        kept = [True] * n
+        step = max(1, MERGE_CELLS // max(n, 1))
+        for at in range(0, n, step):
+            end = min(at + step, n)
+            new, old = (slice(at, end), None), (None, slice(0, end))
+            common = np.minimum(x1[old], x1[new]) - np.maximum(x0[old], x0[new])
+            np.maximum(common, 0, out=common)
+            common *= np.maximum(np.minimum(y1[old], y1[new]) - np.maximum(y0[old], y0[new]), 0)
+            small = np.minimum(size[old], size[new])
+            ks, others = np.nonzero(common / np.where(small > 0, small, 1.0) > 0.5)
+            earlier = others < ks + at
+            met: dict[int, list[int]] = {}
+            for k, other in zip((ks[earlier] + at).tolist(), others[earlier].tolist(), strict=True):
+                met.setdefault(k, []).append(other)
+            for k, some in met.items():
+                some = [o for o in some if kept[o]]
+                if all(conf[k] > conf[o] for o in some):
+                    for o in some:
+                        kept[o] = False
+                else:
+                    kept[k] = False
+        return page.filter(pa.array(kept, pa.bool_()))
 
     rows = ocr.select(*PAGE, *[F.col(c).cast(kind).alias(c) for c, kind in zip(columns, kinds, strict=True)])
-    return rows.groupBy(*PAGE).applyInPandas(of_page, rows.schema)
+    return by_page(rows, [F.asc_nulls_last(c) for c in columns], of_page, rows.schema)
 
 
 def redacted_words(words: DataFrame, rects: DataFrame) -> DataFrame:
