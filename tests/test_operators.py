@@ -235,3 +235,26 @@ def test_edits_are_counted_in_bytes(spark):
     mails = spark.createDataFrame([(1, "xksnh@b.co")], "conv_id long, email string")
     found = known.snap_emails(page(spark, "éç ksnh@b.co les"), mails, ["conv_id", "block", "line_no"], ["conv_id"]).collect()
     assert [(r.i, r.j) for r in found] == [(1, 1)]
+
+
+@pytest.mark.parametrize("rows_at_once", ["1", "3", "1000"])
+def test_pages_are_folded_in_a_stream(spark, rows_at_once):
+    kind = "conv_id long, block int, pass int, word_no int, word string, x0 double, y0 double, x1 double, y1 double, conf double"
+    one = [(0, 0, "A", 0.0, 0.0, 10.0, 10.0, 60.0), (0, 1, "b", 20.0, 0.0, 30.0, 10.0, 60.0), (1, 0, "B", 21.0, 0.0, 30.0, 10.0, 80.0), (1, 1, "a", 1.0, 0.0, 10.0, 10.0, 60.0), (1, 2, "n", 50.0, 0.0, 60.0, 10.0, None)]
+    pages = [(7, 0), (7, 1), (None, 0), (8, None), (9, 0)]
+    ocr = spark.createDataFrame([(*p, *w) for p in pages for w in one], kind)
+    boxes = [(0, 0.0, 0.0, 10.0, 10.0), (1, 15.0, 1.0, 30.0, 12.0), (2, 40.0, 11.0, 50.0, 20.0), (3, 90.0, 11.0, 95.0, 20.0)]
+    rects = spark.createDataFrame([(*p, *r) for p in pages for r in boxes], "conv_id long, block int, rect int, x0 double, y0 double, x1 double, y1 double")
+    words = spark.createDataFrame([(9, 0, "solid", 31.0, 39.0, 0.0, 10.0), (9, 0, "--", 11.0, 14.0, 0.0, 10.0), (10, 0, "alone", 0.0, 9.0, 0.0, 9.0)], "conv_id long, block int, word string, x0 double, x1 double, y0 double, y1 double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+    try:
+        merged, bridged = layout.merge_passes(ocr), layout.bridge(rects, words)
+        assert sorted(((r.conv_id, r.block, r.word) for r in merged.collect()), key=repr) == sorted(((*p, w) for p in pages for w in "ABn"), key=repr)
+        far = (3, 90.0, 11.0, 95.0, 20.0)
+        whole = [[(0, 0.0, 0.0, 50.0, 20.0), far], [(0, 0.0, 0.0, 30.0, 12.0), (2, 40.0, 11.0, 50.0, 20.0), far]]
+        assert sorted((tuple(r) for r in bridged.collect()), key=repr) == sorted(((*p, *r) for p in pages for r in whole[p == (9, 0)]), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for out in (merged, bridged):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "MapInArrow" in plan and "InPandas" not in plan  # no call for each page

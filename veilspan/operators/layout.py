@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -187,34 +186,37 @@ def numbers(rows: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 def bridge(rects: DataFrame, words: DataFrame) -> DataFrame:
     """Neighbours that share height become one where only punctuation stands between them, 24 points apart at most, again and
-    again until no two do: a merged rect is as high as both, so it may meet its own neighbour. A page's rects and words come
-    together once, and are a bounded group."""
+    again until no two do: a merged rect is as high as both, so it may meet its own neighbour. A page's rects, by number, and
+    words come together once, and are a bounded group."""
+    edges = ["x0", "y0", "x1", "y1"]
 
-    def of_page(page: pd.DataFrame, on: pd.DataFrame) -> pd.DataFrame:
-        boxes = on[["x0", "y0", "x1", "y1"]].to_numpy()
+    def of_page(page: pa.RecordBatch) -> pa.RecordBatch:
+        n = int(pc.sum(page.column("_rect")).as_py())
+        x0, y0, x1, y1 = numbers(page, *edges)
+        wx0, wy0, wx1, wy1 = x0[n:], y0[n:], x1[n:], y1[n:]
         kept: list[tuple] = []
 
         def joins(a: tuple, b: tuple) -> bool:
             if a[4] <= b[2] or b[4] <= a[2] or not 0 <= b[1] - a[3] <= fixed.BRIDGE_MAX_GAP:
                 return False
-            x0, y0, x1, y1 = boxes.T
-            return not ((x0 >= a[3] - 0.5) & (x1 <= b[1] + 0.5) & (y1 > min(a[2], b[2])) & (y0 < max(a[4], b[4]))).any()
+            return not ((wx0 >= a[3] - 0.5) & (wx1 <= b[1] + 0.5) & (wy1 > min(a[2], b[2])) & (wy0 < max(a[4], b[4]))).any()
 
-        order = page.assign(_y=page["y0"].round(1)).sort_values(["_y", "x0", "rect"])
-        for r in order[["rect", "x0", "y0", "x1", "y1"]].itertuples(index=False):
-            kept.append(tuple(r))
+        order = np.lexsort((x0[:n], np.round(y0[:n], 1))).tolist()  # rects come by number, so ties stay so
+        boxes = list(zip(range(n), x0[:n].tolist(), y0[:n].tolist(), x1[:n].tolist(), y1[:n].tolist(), strict=True))
+        for k in order:
+            kept.append(boxes[k])
             while len(kept) > 1 and joins(kept[-2], kept[-1]):
                 b, a = kept.pop(), kept.pop()
                 kept.append((min(a[0], b[0]), a[1], min(a[2], b[2]), b[3], max(a[4], b[4])))
-        out = pd.DataFrame(kept, columns=["rect", "x0", "y0", "x1", "y1"])
-        for k in reversed(PAGE):
-            out.insert(0, k, page[k].iloc[0] if len(page) else None)
-        return out
-
-    columns = [*PAGE, "rect", "x0", "y0", "x1", "y1"]
-    solid = words.filter(F.col("word").rlike(r"[\p{L}\p{N}]")).select(*PAGE, "x0", "y0", "x1", "y1")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rects.select(*columns).schema.fields)
-    return rects.select(*columns).groupBy(*PAGE).cogroup(solid.groupBy(*PAGE)).applyInPandas(of_page, schema)
+        at = pa.array([k[0] for k in kept], pa.int64())
+        out = [page.column(c).take(at) for c in (*PAGE, "rect")]
+        out += [pc.cast(pa.array([k[i] for k in kept], pa.float64()), page.schema.field(c).type) for i, c in enumerate(edges, 1)]
+        return pa.RecordBatch.from_arrays(out, names=columns)
+
+    columns = [*PAGE, "rect", *edges]
+    own = rects.select(*columns, F.lit(1).alias("_rect"))
+    solid = words.filter(F.col("word").rlike(r"[\p{L}\p{N}]")).select(*PAGE, *edges, F.lit(0).alias("_rect"))
+    return by_page(own.unionByName(solid, True), [F.desc("_rect"), F.col("rect")], of_page, rects.select(*columns).schema)
 
 
 def is_label(word: Column) -> Column:
