@@ -258,3 +258,10 @@ def test_pages_are_folded_in_a_stream(spark, rows_at_once):
     for out in (merged, bridged):
         plan = out._jdf.queryExecution().sparkPlan().toString()
         assert "MapInArrow" in plan and "InPandas" not in plan  # no call for each page
+
+
+def test_the_best_file_never_depends_on_the_order_of_rows(spark):
+    rows = [(1, 5, "2001-08-28", "file", "applicant", f"resume_{n}.PDF") for n in (5150, 3862, 7000)]
+    kind = "applicant_id long, file_no int, created_at string, storage string, parent string, name string"
+    for some in (rows, rows[::-1]):
+        assert [r.name for r in resolve.best_file(spark.createDataFrame(some, kind)).collect()] == ["resume_3862.PDF"]

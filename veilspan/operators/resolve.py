@@ -46,11 +46,11 @@ def place_rank(storage: Column, parent: Column) -> Column:
 
 
 def best_file(files: DataFrame) -> DataFrame:
-    """The file to use for each applicant: the first place with a usable file, there by kind, then the newest. Own
-    outputs are never a source."""
+    """The file to use for each applicant: the first place with a usable file, there by kind, then the newest; of equal
+    ones the smaller number, then the first name, so that the choice never depends on the order of rows. Own outputs are never a source."""
     rows = files.filter(~scalars.is_masked_output(F.col("name"))).withColumn("rank", file_rank(F.col("name"))).filter("rank is not null")
     rows = rows.withColumn("place", place_rank(F.col("storage"), F.col("parent")))
-    return newest(rows, ["applicant_id"], [F.col("place"), F.col("rank"), F.desc("created_at"), F.col("file_no")])
+    return newest(rows, ["applicant_id"], [F.col("place"), F.col("rank"), F.desc("created_at"), F.col("file_no"), F.col("name")])
 
 
 def file_outcome(applicants: DataFrame, files: DataFrame) -> DataFrame:
